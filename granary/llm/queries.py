@@ -23,6 +23,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.exact_dedup import deduplicate
+
+    return deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.encode_decode import digest_round_trip
 
@@ -34,4 +40,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from granary.llm import exact_dedup
+
+    return {"op5_exact_dedup": exact_dedup.SQL}
