@@ -50,6 +50,12 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_turns(rows.unionByName(planted)))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.encode_decode import digest_round_trip
 
