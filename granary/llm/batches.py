@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from granary.session import materialize
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Texts are handled in slices of about this many characters, so a batch of long texts stays small in memory.
@@ -46,6 +48,17 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return pa.schema([(f.name, kind(f.dataType)) for f in schema])
 
 
+#: Up to so many ids are broadcast (8 bytes each); beyond, rows are joined by shuffles.
+BROADCAST_IDS = 500_000
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id isn't in `gone` (doc_id); all their columns."""
+    gone = materialize(docs.sparkSession, gone.select(F.col("doc_id").alias("gone_id")), "gone")
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, docs[f"`{id_col}`"] == gone.gone_id, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+
+
 def map_texts(df: DataFrame, ddl: str, start: Callable[[], Callable[[list, list[str]], list]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Run start()(ids, texts) -> columns over every row, in slices. `start` runs once for each task."""
     schema = T.StructType.fromDDL(ddl)

@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from granary.llm.batches import without
 from granary.session import materialize, shared_dir
 
 #: Up to so many digests of groups are broadcast (40 bytes each); beyond, the rows are joined by shuffles.
@@ -110,13 +111,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns.
-
-    Ids are held to be unique here. Up to BROADCAST_GROUPS rows that go are broadcast; beyond, the join shuffles.
-    """
-    gone = materialize(docs.sparkSession, deduplicate(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias(id_col)), "gone")
-    few = gone.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
-    return docs.join(F.broadcast(gone) if few else gone, id_col, "left_anti").select(*docs.columns)
+    """The rows of docs that stay, with all their columns. Ids are held to be unique here."""
+    return without(docs, deduplicate(docs, id_col, text_col).where("not kept").select("doc_id"), id_col)
 
 
 #: The oracle for op5: the same result by window functions.
