@@ -1,16 +1,60 @@
-"""The corpus pipeline: stages applied one after the other, each written as Parquet and read again."""
+"""The corpus pipeline: stages applied one after the other, each written as Parquet and read again.
+
+Each stage takes (spark, docs, sf_dir), works on all documents that its predecessor kept, and returns the columns of
+documents, but for the last, which returns the pieces of packed sequences. Ids are held to be unique.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from granary.llm import exact_dedup, near_dup, packing, quality, toxicity
+from granary.llm.batches import without
+from granary.session import materialize
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that operator 6 predicts to be toxic go."""
+    return without(docs, toxicity.classify(docs, _labels(spark, sf_dir)).where("predicted = 1"))
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that operator 8 rejects go."""
+    return without(docs, quality.classify(docs, _labels(spark, sf_dir)).where("not kept"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the one that operator 5 keeps stays."""
+    return exact_dedup.drop_duplicates(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of operator 2 stays."""
+    return without(docs, near_dup.near_duplicates(docs).where("not kept"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of operator 1."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality", drop_poor),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("packing", pack),
+]
+
+#: Training, signatures and tokenizers aren't SQL; the tests hold the pipeline against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from granary.session import materialize
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialize(spark, stage(spark, docs, sf_dir), f"pipeline-{name}")
