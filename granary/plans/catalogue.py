@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from granary.plans import files, functions, records, scorecards, selects
+
+_parts = (scorecards.C, selects.C, records.C, functions.C, files.C)
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for c in _parts for k, f in c.queries.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: s for c in _parts for k, s in c.sql.items()}
