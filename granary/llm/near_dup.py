@@ -46,6 +46,9 @@ UNSET = np.uint64(2**64 - 1)
 _odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
+_steps = np.arange(1, SLOTS + 1, dtype=np.uint64) * _odd[0]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A finaliser of 64-bit hashes."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -107,7 +110,7 @@ def _sign(sets: list[np.ndarray], sig: np.ndarray) -> None:
     for level in range(1, SLOTS):
         if not e.size:
             return
-        x = mix(e + _odd[0] * np.uint64(level + 1))
+        x = mix(e + _steps[level])
         k = level + ((x >> np.uint64(32)) % np.uint64(SLOTS - level)).astype(np.int64)
         slot = order[row, k]
         order[row, k] = order[:, level]
@@ -295,6 +298,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def mixed(of: DataFrame) -> DataFrame:
         """The members of buckets that hold more than one group."""
+        of = of.select("bucket", "rep", "size")
         at = of.join(roots, of.rep == roots.node, "left").select("bucket", "rep", "size", F.coalesce("root", "rep").alias("root"))
         split = at.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
         return materialize(spark, at.join(split, "bucket", "left_semi"), "mixed")
