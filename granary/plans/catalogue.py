@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from granary.plans import files, functions, records, scorecards, selects
+from granary.plans import extras, files, functions, records, scorecards, selects
 
-_parts = (scorecards.C, selects.C, records.C, functions.C, files.C)
+_parts = (scorecards.C, selects.C, records.C, functions.C, files.C, extras.C)
 
 
 def queries() -> dict:
