@@ -23,8 +23,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from granary.llm.batches import arrow_schema, id_text, slices
-from granary.llm.byte_bpe import Pieces
+from granary.llm.byte_bpe import byte_chars
 
 #: A place inside a sentence is offered for a cut only after so many tokens without another place.
 GRID = 64
@@ -42,13 +42,40 @@ AT_SENTENCE, INSIDE = 6, 24
 SEQUENCE_BITS = 40
 #: Tokens that are solved together.
 SEGMENT = 1_000_000
-ENDS = np.array([ord(c) for c in ".!?…。！？"], np.uint32)
+ENDS = set(".!?…。！？")
 #: Python splits at these, the tokenizer doesn't.
 _separators = re.compile("[\x1c-\x1f]")
 
 
+#: A word of Latin letters, between other signs. Such a core is one word to the tokenizer, and its case doesn't matter.
+_signs = r"[!\"#$%&()*+,\-./:;=>?@\[\\\]^`{|}~]*"
+_cored = re.compile(f"({_signs})([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+)({_signs})")
+
+
+class Remembered(dict):
+    """key -> solve(key), in two generations of up to `most` keys; keys of over 100 characters aren't kept."""
+
+    def __init__(self, solve, most: int):
+        self.solve, self.most, self.older = solve, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.solve(key)
+        if len(key) <= 100:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class WordTokens:
-    """ids of texts by a tokenizer that never joins across white space; ids of words are remembered."""
+    """ids of texts by a tokenizer that never joins across white space; ids of words are remembered.
+
+    Most words are a core of Latin letters with signs around it. Cores are remembered apart, and go in lower case, spelled
+    in the vocabulary's letters for bytes, straight to the tokenizer's model.
+    """
 
     def __init__(self, path: str | None, end_id: int):
         from tokenizers import Tokenizer
@@ -58,25 +85,38 @@ class WordTokens:
 
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(path)
+        self.split = self.tokenizer.model.tokenize
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.removesuffix("</w>")[-1:] in ENDS]] = True
+        self.letters = {b: c for c, b in byte_chars().items()}
         self.end = np.uint32(end_id).tobytes()
-        self.memory = Pieces(self._solve)
-
-    def _solve(self, words: list[str]) -> list[bytes]:
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [np.array(e.ids, "<u4").tobytes() for i in range(0, len(words), 5000) for e in encode(words[i : i + 5000], add_special_tokens=False)]
+        self.words = Remembered(self._word, 250_000)
+        self.cores = Remembered(self._core, 250_000)
+        self.signs = Remembered(self._whole, 20_000)
+
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _core(self, core: str) -> bytes:
+        spelled = core if core.isascii() else core.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.split(spelled)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return self.cores[word.lower()]
+        m = _cored.fullmatch(word)
+        if m is None:
+            return self._whole(word)
+        before, core, after = m.groups()
+        return (self.signs[before] if before else b"") + self.cores[core.lower()] + (self.signs[after] if after else b"")
 
     def documents(self, texts: list[str]) -> Iterator[tuple[bytes, np.ndarray]]:
         """For each text its ids with the end id (little-endian 32 bits) and the places after its sentences."""
-        words = [[t] if _separators.search(t) else t.split() for t in texts]
-        known = self.memory.learn({w for ws in words for w in ws})
-        for ws in words:
-            coded = list(map(known.__getitem__, ws))
-            if not ws:
-                yield self.end, np.empty(0, np.int64)
-                continue
-            last = np.frombuffer("".join(map(itemgetter(-1), ws)).encode("utf-32-le", "surrogatepass"), np.uint32)
-            places = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded))) >> 2
-            yield b"".join(coded) + self.end, places[np.isin(last, ENDS)]
+        known = self.words.__getitem__
+        for t in texts:
+            coded = (self._whole(t) if _separators.search(t) else b"".join(map(known, t.split()))) + self.end
+            yield coded, np.flatnonzero(self.ends[np.frombuffer(coded, "<u4")[:-1]]) + 1
 
 
 def places_of(sentences: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
