@@ -94,20 +94,30 @@ def pieces(text: str) -> list[str]:
 
 
 class Pieces:
-    """What solve(list of pieces) gives for each piece, remembered for up to `most` pieces of at most `longest` characters."""
+    """What solve(list of pieces) gives for each piece, remembered.
 
-    def __init__(self, solve, most: int = 250_000, longest: int = 100):
+    Two generations of up to `most` pieces are kept: when the younger is full it becomes the older, whose pieces come
+    back as they are met. Pieces of over `longest` characters are remembered until the next call only.
+    """
+
+    def __init__(self, solve, most: int = 200_000, longest: int = 100):
         self.solve, self.most, self.longest = solve, most, longest
         self.known: dict = {}
-        self._passing: list[str] = []
+        self.older: dict = {}
+        self._passing: list = []
 
-    def learn(self, wanted: set[str]) -> dict:
+    def learn(self, wanted: set) -> dict:
         for p in self._passing:
             self.known.pop(p, None)
-        new = list(wanted.difference(self.known))
+        new = wanted.difference(self.known)
         if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = list(wanted)
+            self.older, self.known = self.known, {}
+            new = wanted
+        if self.older:
+            back = new.intersection(self.older)
+            self.known.update(zip(back, map(self.older.__getitem__, back), strict=True))
+            new = new - back
+        new = list(new)
         self._passing = [p for p in new if len(p) > self.longest]
         self.known.update(zip(new, self.solve(new), strict=True))
         return self.known
