@@ -6,11 +6,12 @@
 2. Texts with the same set are one class, stood for by its smallest id; copies never reach a pair.
 3. BANDS bands of ROWS slots put classes into buckets: a pair at the threshold shares none with probability
    (1 - 0.75 ** 4) ** 32 = 5e-6.
-4. Candidate pairs stay linear in the buckets. First each member meets its bucket's smallest id; then, where a bucket
-   still holds more than one group, each member meets the next one in two orders. Only buckets that are mixed after
-   that are gone through pair by pair, in blocks of at most BLOCK members that tasks share out, comparing
-   signatures in arrays; that leaves out only pairs of a group already and those whose signatures agree in less than
-   LEAST of the slots (at the threshold a chance of 5e-8).
+4. Candidate pairs stay linear in the buckets. First each member meets its bucket's smallest id; then the groups that a
+   bucket still holds are joined by their most alike pairs, fewer than it has members: near copies are most alike to
+   what they were made from. In buckets that are mixed after that, the members with an alike one in another group (their
+   signatures agree in LEAST of the slots, which a linked pair misses with a chance of 5e-8) are compared all with all on
+   full sets, by matrix products inside blocks of at most some hundred members that tasks share out, and only links
+   that join groups come out.
 5. Candidates are confirmed on full sets, cut from the texts again for the classes that are in one. Links grow into
    components by alternating large and small stars, round by round on tables in the shared folder.
 
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,7 +40,7 @@ WIDTH = 5
 SLOTS, ROWS = 128, 4
 BANDS = SLOTS // ROWS
 LEAST = 0.55
-BLOCK = 2048
+BLOCK = 512
 #: Up to so many ids are broadcast (8 bytes each); beyond, rows are joined by shuffles.
 BROADCAST_IDS = 500_000
 UNSET = np.uint64(2**64 - 1)
@@ -199,54 +200,126 @@ def components(links: DataFrame) -> DataFrame:
     """node, root (its component's smallest id) of every linked node that isn't a root itself."""
     spark = links.sparkSession
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    edges = materialize(spark, edges, "edges")
-    seen = None
     while True:
+        edges = materialize(spark, edges, "edges")
+        # done when they are stars: every child has one parent, and no parent is a child
+        ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+        knots = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1")
+        if knots.isEmpty():
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m"))
+        large = materialize(spark, both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "edges")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = materialize(spark, small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == seen:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = now
-
+        edges = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, i, j, block, rep, root, sig), sorted by the first three, to alike pairs of different roots."""
-
-    def pairs(rows: list) -> Iterator[pa.RecordBatch]:
-        i, j = rows[0][1], rows[0][2]
-        left = [r for r in rows if r[3] == i]
-        right = [r for r in rows if r[3] == j]
-        if not left or not right:
-            return
-        ids = np.array([r[4] for r in right], np.int64)
-        roots = np.array([r[5] for r in right], np.int64)
-        sig = np.frombuffer(b"".join(r[6] for r in right), np.uint8).reshape(-1, SLOTS)
-        a, b = [], []
-        for r in left:
-            other = (roots != r[5]) & ((ids > r[4]) | (i != j))
-            if other.any():
-                near = np.flatnonzero(other)
-                near = near[(sig[near] == np.frombuffer(r[6], np.uint8)).sum(axis=1) >= LEAST * SLOTS]
-                for k in near.tolist():
-                    a.append(min(r[4], int(ids[k])))
-                    b.append(max(r[4], int(ids[k])))
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """The rows (bucket, i, j, block, rep, root, sig), sorted by the first three, of each (bucket, i, j)."""
     rows: list = []
     for batch in batches:
         for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if rows and rows[0][:3] != r[:3]:
-                yield from pairs(rows)
+                yield rows
                 rows = []
             rows.append(r)
     if rows:
-        yield from pairs(rows)
+        yield rows
+
+
+def _pairs(a: list[int], b: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(map(min, a, b), pa.int64()), pa.array(map(max, a, b), pa.int64())], names=["a", "b"])
+
+
+def _block_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each block the most alike pairs that would join its groups: fewer pairs than members (Boruvka's rounds)."""
+    for rows in _blocks(batches):
+        ids = [r[4] for r in rows]
+        _, group = np.unique(np.array([r[5] for r in rows], np.int64), return_inverse=True)
+        sig = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(-1, SLOTS)
+        like = np.empty((len(rows), len(rows)), np.uint8)
+        for i in range(len(rows)):
+            like[i] = (sig == sig[i]).sum(axis=1)
+        a, b = [], []
+        while group.max():
+            best = np.where(group[:, None] != group[None, :], like, 0)
+            to = best.argmax(axis=1)
+            value = best[np.arange(len(rows)), to]
+            found = False
+            for g in range(int(group.max()) + 1):
+                own = np.flatnonzero(group == g)
+                i = own[value[own].argmax()] if own.size else 0
+                if own.size and value[i] >= LEAST * SLOTS and group[i] != group[to[i]]:
+                    a.append(ids[i])
+                    b.append(ids[int(to[i])])
+                    group[own] = group[to[i]]
+                    found = True
+            if not found:
+                break
+            _, group = np.unique(group, return_inverse=True)
+        if a:
+            yield _pairs(a, b)
+
+
+def _block_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each block those members that have an alike one of another group, between blocks i and j if these differ."""
+    for rows in _blocks(batches):
+        roots = np.array([r[5] for r in rows], np.int64)
+        block = np.array([r[3] for r in rows], np.int64)
+        sig = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(-1, SLOTS)
+        within, hit = rows[0][1] == rows[0][2], np.zeros(len(rows), bool)
+        for k in range(len(rows)):
+            if not hit[k]:
+                near = np.flatnonzero((roots != roots[k]) & (within | (block != block[k])))
+                near = near[(sig[near] == sig[k]).sum(axis=1) >= LEAST * SLOTS]
+                hit[near] = True
+                hit[k] = near.size > 0
+        kept = [rows[k][:6] for k in np.flatnonzero(hit).tolist()]
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept, strict=True), _member.types, strict=True)], schema=_member)
+
+
+_member = pa.schema([("bucket", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("block", pa.int32()), ("rep", pa.int64()), ("root", pa.int64())])
+
+
+def _block_links(batches: Iterator[pa.RecordBatch], columns: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Links by full sets between members of different groups; as few as join what they join.
+
+    All intersections of a block come from products of its incidence matrix, a strip of shingles at a time; shingles of
+    one member alone don't matter.
+    """
+    for rows in _blocks(batches):
+        ids, n = [r[4] for r in rows], len(rows)
+        sets = [_numbers(r[6]) for r in rows]
+        sizes = np.array([s.size for s in sets])
+        _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = times > 1
+        place = np.cumsum(shared) - 1
+        owner = np.repeat(np.arange(n), sizes)[shared[column]]
+        column = place[column[shared[column]]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        both = np.zeros((n, n), np.float32)
+        for lo in range(0, int(shared.sum()), columns):
+            at = slice(*np.searchsorted(column, [lo, lo + columns]).tolist())
+            strip = np.zeros((n, columns), np.float32)
+            strip[owner[at], column[at] - lo] = 1
+            both += strip @ strip.T
+        link = 100 * both >= 75 * (sizes[:, None] + sizes[None, :] - both)
+        roots, block = np.array([r[5] for r in rows], np.int64), np.array([r[3] for r in rows])
+        if rows[0][1] != rows[0][2]:
+            link &= block[:, None] != block[None, :]
+        _, group = np.unique(roots, return_inverse=True)
+        a, b = [], []
+        for k in range(n):
+            for t in np.flatnonzero(link[k] & (group != group[k])).tolist():
+                if group[t] != group[k]:
+                    a.append(ids[k])
+                    b.append(ids[t])
+                    group[group == group[t]] = group[k]
+        if a:
+            yield _pairs(a, b)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -265,6 +338,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets: list[DataFrame] = []  # of the classes that have been in a pair, in as many parts as rounds
     tried: list[DataFrame] = []
 
+    def with_sets(wanted: DataFrame) -> DataFrame:
+        """The sets of all classes so far, with those of `wanted` (rep, distinct)."""
+        for s in sets:
+            wanted = wanted.join(s.select("rep"), "rep", "left_anti")
+        wanted = materialize(spark, wanted, "wanted")
+        if not wanted.isEmpty():
+            few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+            one = wanted.select(F.col("rep").alias("doc_id"))
+            texts = id_text(docs, id_col, text_col).join(F.broadcast(one) if few else one, "doc_id", "left_semi")
+            cut = full_sets(texts, "doc_id", "text").withColumnRenamed("doc_id", "rep")
+            sets.append(materialize(spark, cut.dropDuplicates(["rep"]) if repeated else cut, "sets"))
+        have = sets[0]
+        for s in sets[1:]:
+            have = have.unionByName(s)
+        return have
+
     def confirmed(pairs: DataFrame, alike: bool) -> DataFrame:
         """The links among pairs (a < b) that weren't tried before."""
         pairs = pairs.distinct()
@@ -273,21 +362,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not alike:
             pairs = _with_both(pairs, sigs, "sig").mapInArrow(_alike, "a long, b long")
         pairs = materialize(spark, pairs, "pairs")
+        if pairs.isEmpty():
+            return pairs
         tried.append(pairs)
-        wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-        for s in sets:
-            wanted = wanted.join(s, "rep", "left_anti")
-        wanted = materialize(spark, wanted, "wanted")
-        few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-        wanted = wanted.select(F.col("rep").alias("doc_id"))
-        texts = id_text(docs, id_col, text_col).join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-        cut = full_sets(texts, "doc_id", "text").withColumnRenamed("doc_id", "rep")
-        if repeated:
-            cut = cut.dropDuplicates(["rep"])
-        sets.append(materialize(spark, cut, "sets"))
-        have = sets[0]
-        for s in sets[1:]:
-            have = have.unionByName(s)
+        have = with_sets(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct())
         return materialize(spark, _with_both(pairs, have, "members").mapInArrow(_linked, "a long, b long"), "links")
 
     # an id may stand in several rows; then its set must not be joined twice
@@ -303,24 +381,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         split = at.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
         return materialize(spark, at.join(split, "bucket", "left_semi"), "mixed")
 
+    def dealt_out(of: DataFrame) -> DataFrame:
+        """Members in blocks: each (bucket, i, j) holds the members of blocks i and j."""
+        parts = F.ceil(F.col("size") / BLOCK).cast("int")
+        blocks = of.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), parts).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1)))
+        blocks = blocks.select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "rep", "root").join(sigs, "rep")
+        return blocks.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").select("bucket", "i", "j", "block", "rep", "root", "sig")
+
+    def joined_by(found: DataFrame) -> DataFrame:
+        return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
+
     rest = mixed(members)
-    for seed in (1, 2):
-        if rest.isEmpty():
-            break
-        w = Window.partitionBy("bucket").orderBy(F.xxhash64("rep", F.lit(seed)), "rep")
-        beside = rest.withColumn("next", F.lead("rep").over(w)).withColumn("next_root", F.lead("root").over(w)).where("next_root <> root")
-        found = confirmed(beside.select(F.least("rep", "next").alias("a"), F.greatest("rep", "next").alias("b")), False)
+    if not rest.isEmpty():
+        found = confirmed(dealt_out(rest).mapInArrow(_block_forest, "a long, b long"), True)
         if not found.isEmpty():
-            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
+            roots = joined_by(found)
             rest = mixed(rest)
     if not rest.isEmpty():
-        parts = F.ceil(F.col("size") / BLOCK).cast("int")
-        blocks = rest.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), parts).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1)))
-        blocks = blocks.select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "rep", "root").join(sigs, "rep")
-        dealt = blocks.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").select("bucket", "i", "j", "block", "rep", "root", "sig")
-        found = confirmed(dealt.mapInArrow(_block_pairs, "a long, b long"), True)
-        if not found.isEmpty():
-            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
+        ddl = "bucket long, i int, j int, block int, rep long, root long"
+        left = materialize(spark, dealt_out(rest).mapInArrow(_block_members, ddl), "left")
+        if not left.isEmpty():
+            full = left.join(with_sets(left.select("rep").distinct()), "rep")
+            full = full.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").select("bucket", "i", "j", "block", "rep", "root", "members")
+            found = materialize(spark, full.mapInArrow(_block_links, "a long, b long"), "links")
+            if not found.isEmpty():
+                roots = joined_by(found)
 
     grouped = classes.select("set_key", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("root", "rep").alias("component"))
     out = sketches.select("doc_id", "n_shingles", "set_key").join(grouped, "set_key", "left")

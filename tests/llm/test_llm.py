@@ -281,16 +281,31 @@ def test_components_of_chains_and_stars(spark):
     assert got == want
 
 
-def test_block_pairs_cross_blocks():
+def test_blocks_compare_across_and_within():
     import pyarrow as pa
 
-    from granary.llm.near_dup import SLOTS, _block_pairs
+    from granary.llm.near_dup import SLOTS, _block_forest, _block_links, _block_members
 
     same, other = bytes(SLOTS), bytes([9]) * SLOTS
+
+    def batch(rows):
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+        return iter([pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=list("cijkrts"))])
+
+    def out(work, rows):
+        return [tuple(r.values()) for b in work(batch(rows)) for r in b.to_pylist()]
+
     rows = [(1, 0, 0, 0, 10, 10, same), (1, 0, 0, 0, 11, 11, same), (1, 0, 0, 0, 12, 12, other), (1, 0, 1, 0, 10, 10, same), (1, 0, 1, 1, 20, 20, same), (1, 0, 1, 1, 21, 10, same)]
-    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=list("cijkrts"))
-    got = [tuple(r.values()) for b in _block_pairs(iter([batch])) for r in b.to_pylist()]
-    assert got == [(10, 11), (10, 20)]
+    assert {r[4] for r in out(_block_members, rows) if r[2] == 0} == {10, 11}
+    assert {r[4] for r in out(_block_members, rows) if r[2] == 1} == {10, 20}
+    assert (10, 11) in out(_block_forest, rows)
+
+    def numbers(*xs):
+        return b"".join(x.to_bytes(6, "little") for x in xs)
+
+    sets = {10: numbers(*range(8)), 11: numbers(*range(1, 9)), 12: numbers(*range(100, 108)), 20: numbers(*range(7)), 21: numbers(*range(6))}
+    linked = out(_block_links, [(*r[:6], sets[r[4]]) for r in rows])
+    assert linked == [(10, 11), (10, 20)]  # 7 of 9 and 7 of 8; 10 and 21 are one group already
 
 
 # 4
