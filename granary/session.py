@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -32,8 +34,8 @@ def get_session(app: str = "granary", cpus: int | None = None, **conf: str) -> S
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new path in the folder that driver and executors share.
 
-    The cluster names that folder in spark.checkpoint.dir. Only where the setting is absent, as in
-    local tests, a temporary folder of this machine serves.
+    The cluster names that folder in spark.checkpoint.dir; what lies under its granary/ can go when the application
+    has ended. Only where the setting is absent, as in local tests, a temporary folder of this machine serves.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -41,6 +43,7 @@ def shared_dir(spark: SparkSession, label: str) -> str:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="granary-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", f"file://{base}")
         base = f"file://{base}"
     return f"{base.rstrip('/')}/granary/{label}-{uuid.uuid4().hex}"
