@@ -3,11 +3,16 @@
 Units are the words of a text, also those spelled with blanks between their letters ("w o r d"). The kernel of two
 units counts the three-letter subsequences that they share, each weighted by DECAY for every letter that it skips, so
 inserted characters and changed endings leave most of it. Landmarks are units mined from labelled texts; a unit's
-features are its kernels with the landmarks, whitened (Nyström). A linear machine with squared hinge loss is trained on
+features are its kernels with the landmarks, whitened (Nyström). Linear machines with squared hinge loss are trained on
 units: those of toxic texts whose strings lean to toxic texts, against units of clean texts, twice, the second time
-against the clean units that the first machine finds worst. A text's score is that of its worst unit, set on a scale from 0 to 1 by logistic regression over texts that the machine wasn't fitted on.
-
-Since features are linear in the subsequence counts, the machine folds into one weight for each of SPACE hashed
+against the clean units that the first machine finds worst. One machine takes strings that lean by being there at all,
+the other strings that lean by being there often: words that clean texts hold too, now and then, and toxic ones again
+and again. A text has two features, the first machine's output for its worst unit and the share of its words that the
+second one finds, summed over the whole text. Logistic regression over texts that the machines weren't fitted on sets
+each on a scale from 0 to 1 (the share over those texts that the worst unit doesn't give away), and the score is the
+higher one.
+
+Since features are linear in the subsequence counts, a machine folds into one weight for each of SPACE hashed
 subsequences, and scoring a unit costs some lookups however many landmarks there are. Scores of words are remembered
 in bounded memory; scoring needs no shuffle. Training takes a bounded sample of labelled rows (see `train`).
 
@@ -32,10 +37,15 @@ from granary.llm.byte_bpe import Pieces
 DECAY, REACH = 0.7, 6
 SPACE = 1 << 16
 LANDMARKS = 128
-#: A unit is taken for toxic if two of its strings lean so far, as a share of the furthest lean.
-LEANING = 0.5
+#: A unit is taken for toxic if two of its strings lean so far: as a share of the furthest lean for strings that are
+#: there at all; or, if lower, as log odds for strings that are there often, whatever strings of other languages do.
+#: Units with such a string that more than COMMON of the clean texts hold give nothing away by being there.
+LEANING, LEAST, COMMON = 0.5, 2.0, 0.02
 #: Long units are scored by windows of this length, each starting half a window after the last.
 WINDOW = 24
+#: A string is there often in a text if TWICE words at least hold it, and a share of OFTEN among its words and USUAL more.
+TWICE, OFTEN, USUAL = 2, 0.005, 100
+LONGEST = 6
 _edge = re.compile(r"^[\W_]+|[\W_]+$")
 #: Digits that stand for letters.
 _digits = str.maketrans("013457", "oieast")
@@ -43,17 +53,17 @@ _steps = [(a, b) for a in range(1, REACH - 1) for b in range(a + 1, REACH)]
 _weights = np.array([DECAY ** (b - 2) for _, b in _steps], np.float32)
 
 
-def words_of(text: str) -> set[str]:
-    """The distinct units of a text."""
+def words_of(text: str) -> list[str]:
+    """The units of a text, each as often as it is there."""
     words = text.lower().split()
-    out = set(words)
+    out = words
     if len(words) >= 3:
         one = np.fromiter(map(len, words), np.int64, len(words)) == 1
         if one.any():
             edges = np.flatnonzero(np.diff(np.r_[False, one, False].astype(np.int8)))
             for lo, hi in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
                 if hi - lo >= 3:
-                    out.add("".join(words[lo:hi]))
+                    out = [*out, "".join(words[lo:hi])]
     return out
 
 
@@ -111,11 +121,26 @@ class Subsequences:
         return out
 
 
-def kernel(units: list[str], landmarks: list[str]) -> np.ndarray:
-    s = Subsequences(units)
-    out = np.empty((len(units), len(landmarks)), np.float32)
-    for j, mark in enumerate(landmarks):
-        out[:, j] = s.dot(Subsequences([mark]).spread(np.ones(1)))
+def kernel(units: list[str], landmarks: list[str], part: int = 1000) -> np.ndarray:
+    marks = Subsequences(landmarks)
+    triples = list(marks.each())
+    kept = np.unique(np.concatenate([k for k, *_ in triples]))
+    at = np.full(SPACE, -1)
+    at[kept] = np.arange(kept.size)
+    columns = np.zeros((kept.size, len(landmarks)))
+    for key, mark, w in triples:
+        np.add.at(columns, (at[key], mark), w / marks.norm[mark])
+    out = np.zeros((len(units), len(landmarks)), np.float32)
+    for lo in range(0, len(units), part):
+        s = Subsequences(units[lo : lo + part])
+        rows = np.zeros((s.n, len(landmarks)))
+        for key, unit, w in s.each():
+            here = at[key] >= 0
+            if here.any():
+                key, unit = at[key[here]], unit[here]
+                first = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
+                rows[unit[first]] += w * np.add.reduceat(columns[key], first)
+        out[lo : lo + part] = rows / s.norm[:, None]
     return out
 
 
@@ -135,34 +160,73 @@ def squared_hinge(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
 
 
 @dataclass
-class Model:
+class Machine:
     weights: np.ndarray  # of hashed subsequences
     offset: float
-    slope: float
-    level: float
+    empty: float = -2.0
+
+    def outputs(self, units: Subsequences) -> np.ndarray:
+        return np.maximum(units.dot(self.weights) + self.offset, self.empty)
+
+
+@dataclass
+class Model:
+    once: Machine | None
+    often: Machine | None
+    scale: np.ndarray  # slope and level of each feature
     empty: float = -2.0
 
     def unit_scores(self, words: list[str]) -> list[float]:
-        """The machine's output for each word; `empty` for those without letters."""
+        """The first machine's output for each word."""
+        return [a for a, _ in self.word_scores(words)]
+
+    def word_scores(self, words: list[str]) -> list[tuple[float, float]]:
+        """For each word the first machine's output (`empty` without letters) and the second one's, drawn into 0 to 1."""
         units, owner = [], []
         for i, w in enumerate(words):
             for u in spelled(w):
                 units.append(u)
                 owner.append(i)
-        out = np.full(len(words), self.empty)
+        out = np.full((2, len(words)), self.empty)
         if units:
-            np.maximum.at(out, owner, np.maximum(Subsequences(units).dot(self.weights) + self.offset, self.empty))
-        return out.tolist()
+            s = Subsequences(units)
+            for row, machine in zip(out, (self.once, self.often), strict=True):
+                if machine is not None:
+                    np.maximum.at(row, owner, machine.outputs(s))
+        return list(zip(out[0].tolist(), np.clip(out[1], 0, 1).tolist(), strict=True))
 
-    def probability(self, worst: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * worst + self.level, -30, 30))))
+    def features(self, scores: list[tuple[float, float]]) -> list[float]:
+        """Worst unit, and share of words (as a logarithm, 0 where there is none) of a text whose words score so."""
+        worst = max((a for a, _ in scores), default=self.empty)
+        return [worst, float(np.log1p(sum(b for _, b in scores) / (len(scores) + USUAL) / 0.001))]
+
+    def probabilities(self, features) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(np.asarray(features) * self.scale[:, 0] + self.scale[:, 1], -30, 30)))
+
+    def probability(self, worst: float, share: float = 0.0) -> float:
+        return float(self.probabilities([worst, share]).max())
+
+
+def _strings(u: str, longest: int = 4) -> set[str]:
+    """The strings of four letters of a unit, and those of up to `longest`."""
+    return {u[i : i + k] for k in range(4, longest + 1) for i in range(max(1, len(u) - k + 1))}
+
+
+def _often(units: Counter) -> set[str]:
+    """The strings that are often in a text of these units."""
+    held: Counter = Counter()
+    for u, n in units.items():
+        for g in _strings(u, LONGEST):
+            held[g] += n
+    least = max(TWICE, OFTEN * (units.total() + USUAL))
+    return {g for g, n in held.items() if n >= least}
 
 
 def _suspicion(texts: list[set[str]], toxic: list[bool]) -> dict[str, float]:
-    """How far each four-letter string (with word edges) leans to toxic texts: its log odds less 1.5 standard errors."""
+    """How far each string, of the sets of strings of texts, leans to toxic texts: its log odds less 1.5 standard errors."""
     pos, neg = Counter(), Counter()
-    for units, y in zip(texts, toxic, strict=True):
-        (pos if y else neg).update({u[i : i + 4] for u in units for i in range(max(1, len(u) - 3))})
+    for strings, y in zip(texts, toxic, strict=True):
+        (pos if y else neg).update(strings)
     n1, n0 = sum(toxic), len(toxic) - sum(toxic)
     out = {}
     for g, a in pos.items():
@@ -171,26 +235,25 @@ def _suspicion(texts: list[set[str]], toxic: list[bool]) -> dict[str, float]:
     return out
 
 
-def fit(rows: list[tuple[int, str, int]]) -> Model | None:
-    """Train on (id, text, label) rows; None unless both classes are there."""
-    rows = sorted(rows, key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
-    texts = [{u for w in words_of(t or "") for u in spelled(w)} for _, t, _ in rows]
-    toxic = [y == 1 for *_, y in rows]
-    fitted = [i % 4 != 3 for i in range(len(rows))]  # every fourth text is left for the scale
-    both = {True, False}
-    if {y for y, f in zip(toxic, fitted, strict=True) if f} != both:
-        return None
-    lean = _suspicion([t for t, f in zip(texts, fitted, strict=True) if f], [y for y, f in zip(toxic, fitted, strict=True) if f])
+def _least(lean: dict[str, float], shared: bool) -> float:
+    least = LEANING * max(lean.values(), default=0.0)
+    return min(LEAST, least) if shared else least
+
+
+def _machine(texts: list[Counter], toxic: list[bool], lean: dict[str, float], shared: bool) -> Machine | None:
+    """A machine from the units whose strings lean, against units of clean texts; `shared`: leaning units may be in clean texts too."""
 
     def leaning(u: str) -> float:
         """The second furthest lean of a unit's strings: one string may be there by chance."""
-        return sorted((0.0, 0.0, *(lean.get(u[i : i + 4], 0.0) for i in range(max(1, len(u) - 3)))))[-2]
+        return sorted((0.0, 0.0, *(lean.get(g, 0.0) for g in _strings(u, LONGEST if shared else 4))))[-2]
 
-    clean = Counter(u for t, y, f in zip(texts, toxic, fitted, strict=True) if f and not y for u in t)
-    counts = Counter(u for t, y, f in zip(texts, toxic, fitted, strict=True) if f and y for u in t if u not in clean)
-    least = LEANING * max(lean.values(), default=0.0)
+    least = _least(lean, shared)
+    clean = Counter(u for t, y in zip(texts, toxic, strict=True) if not y for u in t)
+    counts = Counter(u for t, y in zip(texts, toxic, strict=True) if y for u in t if shared or u not in clean)
     found = {u: n for u, n in counts.items() if leaning(u) >= least > 0}
     positives = sorted(found, key=lambda u: (-found[u], u))[:4000]
+    if shared:
+        clean = Counter({u: n for u, n in clean.items() if leaning(u) < least})
 
     def key(u: str) -> int:
         return zlib.crc32(u.encode("utf-8", "surrogatepass"))
@@ -201,7 +264,7 @@ def fit(rows: list[tuple[int, str, int]]) -> Model | None:
     others = sorted(clean, key=key)
     if not positives or not clean:
         return None
-    model = None
+    machine = None
     for _ in range(2):
         negatives = sorted({*hard, *common, *others[:12000]})
         marks = positives[:LANDMARKS] + sorted(positives[LANDMARKS:], key=key)[: LANDMARKS // 2] + sorted(hard[:1000], key=key)[:LANDMARKS]
@@ -214,20 +277,49 @@ def fit(rows: list[tuple[int, str, int]]) -> Model | None:
         heavy = np.sqrt([found[u] for u in positives])
         share = np.r_[0.5 * heavy / heavy.sum(), np.full(len(negatives), 0.5 / len(negatives))] * len(y)
         w = squared_hinge(z.astype(np.float64), y, share)
-        model = Model(Subsequences(marks).spread(whiten @ w[:-1]).astype(np.float32), float(w[-1]), 1.0, 0.0)
+        machine = Machine(Subsequences(marks).spread(whiten @ w[:-1]).astype(np.float32), float(w[-1]))
         # once more, against the clean units that the machine itself finds worst
-        scores = Subsequences(others).dot(model.weights) + model.offset
+        scores = machine.outputs(Subsequences(others))
         hard = [others[i] for i in np.argsort(-scores, kind="stable")[:4000]]
+    return machine
+
+
+def fit(rows: list[tuple[int, str, int]]) -> Model | None:
+    """Train on (id, text, label) rows; None unless both classes are there."""
+    rows = sorted(rows, key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
+    words = [words_of(t or "") for _, t, _ in rows]
+    toxic = [y == 1 for *_, y in rows]
+    fitted = [i for i in range(len(rows)) if i % 4 != 3]  # every fourth text is left for the scale
+    both = {True, False}
+    ys = [toxic[i] for i in fitted]
+    if set(ys) != both:
+        return None
+    texts = [Counter(u for w in words[i] for u in spelled(w)) for i in fitted]
+    lean = _suspicion([_often(t) for t in texts], ys)
+    often = _machine(texts, ys, lean, shared=True)
+    far = {g for g, x in lean.items() if x >= _least(lean, True) > 0}
+    held = Counter(g for t, y in zip(texts, ys, strict=True) if not y for g in far.intersection(g for u in t for g in _strings(u, LONGEST)))
+    usual = {g for g, n in held.items() if n > COMMON * ys.count(False)}
+    if usual:
+        texts = [Counter({u: n for u, n in t.items() if usual.isdisjoint(_strings(u, LONGEST))}) for t in texts]
+    once = _machine(texts, ys, _suspicion([{g for u in t for g in _strings(u)} for t in texts], ys), shared=False)
+    if once is None and often is None:
+        return None
+    model = Model(once, often, np.array([[1.0, -30.0], [1.0, -30.0]]))
     # the scale, by logistic regression on the texts kept aside (on all, where a class is missing there)
-    aside = [i for i, f in enumerate(fitted) if not f]
+    aside = sorted(set(range(len(rows))) - set(fitted))
     if {toxic[i] for i in aside} != both:
         aside = range(len(rows))
-    words = [words_of(rows[i][1] or "") for i in aside]
-    vocabulary = sorted({w for ws in words for w in ws})
-    of = dict(zip(vocabulary, model.unit_scores(vocabulary), strict=True))
-    s = np.array([max((of[w] for w in ws), default=model.empty) for ws in words])
+    vocabulary = sorted({w for i in aside for w in words[i]})
+    of = dict(zip(vocabulary, model.word_scores(vocabulary), strict=True))
+    x = np.array([model.features([of[w] for w in words[i]]) for i in aside])
     t = np.array([toxic[i] for i in aside], float)
-    model.slope, model.level = _logistic(s, t)
+    left = np.ones(len(t), bool)
+    for j, machine in enumerate((once, often)):
+        if machine is not None:
+            use = left if {*t[left]} == {0.0, 1.0} else np.ones(len(t), bool)
+            model.scale[j] = _logistic(x[use, j], t[use])
+            left &= model.probabilities(x)[:, j] < 0.5
     return model
 
 
@@ -280,15 +372,15 @@ def score_documents(docs: DataFrame, model: Model | None, id_col: str = "doc_id"
         m = sent.value
         if m is None:
             return lambda ids, texts: [ids, [0.0] * len(ids)]
-        key = m.weights.tobytes(), m.offset
+        key = tuple((x.weights.tobytes(), x.offset) if x else None for x in (m.once, m.often))
         if _memory.get("key") != key:
-            _memory.update(key=key, pieces=Pieces(m.unit_scores))
+            _memory.update(key=key, pieces=Pieces(m.word_scores))
         pieces = _memory["pieces"]
 
         def work(ids: list, texts: list[str]) -> list:
             words = [words_of(t) for t in texts]
             known = pieces.learn(set().union(*words))
-            return [ids, [m.probability(max(map(known.__getitem__, ws), default=m.empty)) for ws in words]]
+            return [ids, [m.probability(*m.features(list(map(known.__getitem__, ws)))) for ws in words]]
 
         return work
 

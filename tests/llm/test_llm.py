@@ -471,6 +471,31 @@ def test_toxicity_tolerates_inserted_characters():
     assert max(p(w) for w in ("window", "sound", "table", "wit")) < 0.5
 
 
+def test_toxicity_finds_words_that_clean_texts_hold_too():
+    from granary.llm.toxicity import fit
+
+    rng = random.Random(3)
+    syllables = ["la", "ción", "ar", "os", "mi", "ue", "ado", "ez", "ta", "rr", "ga", "ja"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
+    bad = lambda: "bomente" + word()
+
+    def text(n_bad, n=60):
+        ws = [word() for _ in range(n)]
+        for i in rng.sample(range(n), n_bad):
+            ws[i] = bad()
+        return " ".join(ws)
+
+    rows = [(i, text(rng.randint(3, 6) if i % 5 == 0 else int(i % 5 == 1)), int(i % 5 == 0)) for i in range(400)]
+    m = fit(rows)
+
+    def p(t):
+        return m.probability(*m.features(m.word_scores(t.lower().split())))
+
+    assert min(p(text(4)) for _ in range(20)) > 0.5
+    assert max(p(text(k)) for k in (0, 1) for _ in range(20)) < 0.5
+    assert p(text(1, 3000)) < 0.5
+
+
 def test_toxicity_odd_cases(spark, odd):
     from granary.llm.toxicity import classify
 
