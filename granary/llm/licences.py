@@ -4,13 +4,15 @@ Texts and templates are normalised alike: lower case, words of letters and digit
 line or some lines in succession, matches a template when 2 * |A and B| / (|A| + |B|) over their sets of word bigrams is
 at least THRESHOLD. For that, |A| must lie between |B| * t / (2 - t) and |B| * (2 - t) / t: templates outside these
 bounds are pruned by their size alone, and an index from bigrams to templates gives the intersections of the others, so
-a segment that shares no bigram with a template costs only its normalisation. Scanning is row by row, without shuffles;
+a segment that shares no bigram with a template costs only its normalisation. Where no such segment matches, windows of
+words do, wherever they start and end: inside a line, over line ends, in a text of one line. A window starts and ends at
+bigrams of its template, and is tried only where enough of them stand close together. Scanning is row by row, without shuffles;
 a segment of several lines has at most twice as many words as the largest template's bound, so memory follows the longest
-line.
+text.
 
 Defined results: null and empty texts match nothing; of equal coefficients the template named first in the alphabet
-counts; overlapping segments that match the same licence give the one of highest coefficient, then the earliest; a
-segment of one word has no bigram and matches nothing; repeated rows each give their row; an empty table gives an empty
+counts; overlapping segments that match the same licence give the one of highest coefficient, then the earliest;
+of windows that overlap, whatever their licences, that one alone; a segment of one word has no bigram and matches nothing; repeated rows each give their row; an empty table gives an empty
 table; other columns are not read.
 """
 
@@ -131,7 +133,65 @@ class Templates:
         for m in found:
             if not any(m[0] == o[0] and m[2] < o[2] + o[3] and o[2] < m[2] + m[3] for o in kept):
                 kept.append(m)
-        return sorted(kept, key=lambda m: (m[2], m[0]))
+        return sorted(kept + self.windows(lines, kept), key=lambda m: (m[2], m[0]))
+
+    def windows(self, lines: list[str], taken: list) -> list[tuple[str, float, int, int]]:
+        """As `scan`, the matches of windows of words outside the lines of the matches `taken`."""
+        covered = {i for m in taken for i in range(m[2], m[2] + m[3])}
+        out: list = []
+        words: list[str] = []
+        where: list[int] = []
+        for i, line in enumerate([*lines, ""]):
+            if i == len(lines) or i in covered:
+                out += [(m[1], -m[0], where[m[2]], where[m[3]] - where[m[2]] + 1) for m in self._windows(words)]
+                words, where = [], []
+            else:
+                new = _word.findall(line.lower())
+                words += new
+                where += [i] * len(new)
+        return out
+
+    def _windows(self, words: list[str]) -> list[tuple[float, str, int, int]]:
+        """Minus coefficient, licence, first and last word of the windows that match, none overlapping another."""
+        pairs = list(zip(words, words[1:], strict=False))
+        hits = self.index.keys() & set(pairs)
+        t = self.threshold
+        shared = Counter(i for g in hits for i in self.index[g])
+        places: dict[int, list[int]] = {i: [] for i, c in shared.items() if c * (2 - t) >= self.sizes[i] * t}
+        if not places:
+            return []
+        for at, g in enumerate(pairs):
+            if g in hits:
+                for i in self.index[g]:
+                    if i in places:
+                        places[i].append(at)
+        found = []
+        for i, at in places.items():
+            size = self.sizes[i]
+            least, most = size * t / (2 - t), size * (2 - t) / t
+            for k, first in enumerate(at):
+                # so many hits must stand within the longest window (a window may repeat bigrams, up to twice its bound)
+                need = k + max(0, int(-(-least // 1)) - 1)
+                if need >= len(at) or at[need] - first >= 2 * most:
+                    continue
+                seen, common, upto = set(), set(), first
+                for last in at[k:]:
+                    if last - first >= 2 * most:
+                        break
+                    seen.update(pairs[upto : last + 1])
+                    upto = last + 1
+                    if len(seen) > most:
+                        break
+                    common.add(pairs[last])
+                    dice = 2 * len(common) / (len(seen) + size)
+                    if dice >= t:
+                        found.append((-dice, self.names[i], first, last + 1))
+        found.sort(key=lambda m: (m[0], m[2] - m[3], m[2], m[1]))
+        kept: list = []
+        for m in found:
+            if all(m[3] < o[2] or o[3] < m[2] for o in kept):
+                kept.append(m)
+        return kept
 
 
 @lru_cache(maxsize=4)

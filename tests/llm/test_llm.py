@@ -642,6 +642,22 @@ def test_licence_notices_over_lines(spark, odd):
 # all
 
 
+def test_licences_inside_lines():
+    from granary.llm.licences import NOTICES, Templates
+
+    known = Templates()
+    found = lambda text: [(m[0], m[2], m[3]) for m in known.scan(text)]
+    assert found("Copyright 2020 Foo. Licensed under the MIT License.") == [("MIT", 0, 1)]
+    assert found("one\nIt is released by its authors and licensed under the MIT License. More words follow it here.") == [("MIT", 1, 1)]
+    assert found("It is free, and licensed under the\nMIT License as you see, so use it as you like.") == [("MIT", 0, 2)]
+    other = " ".join(f"word{i}" for i in range(400))
+    notice = " ".join(NOTICES["Apache-2.0"].split())
+    assert found(f"{other} {notice} {other}") == [("Apache-2.0", 0, 1)]
+    assert found(f"{other} Licensed under the ISC License. {other} Released under CC0 1.0. {other}") == [("CC0-1.0", 0, 1), ("ISC", 0, 1)]
+    assert found("Some of it is licensed under the GNU Lesser General Public License, version 2.1, and some is not.") == [("LGPL-2.1", 0, 1)]
+    assert found(other) == []
+
+
 def test_empty_tables(spark, docs):
     from granary.llm import chat, encode_decode, exact_dedup, licences, media, near_dup, packing, quality, token_counts, toxicity
 
