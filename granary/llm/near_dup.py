@@ -3,21 +3,29 @@
 1. Each text becomes its set of 5-word shingles (64-bit hashes) and a SuperMinHash signature: every shingle deals
    itself one slot after the other in an order drawn from its hash, with rank + fraction as its value. Ranks are worked
    off level by level over arrays; a text stops at the level that fills its last slot.
-2. Texts with the same set are one class, stood for by its smallest id; copies never reach a pair.
+2. Rows with the same set are one class, whatever their ids; copies never reach a pair.
 3. BANDS bands of ROWS slots put classes into buckets: a pair at the threshold shares none with probability
    (1 - 0.75 ** 4) ** 32 = 5e-6.
-4. Candidate pairs stay linear in the buckets. First each member meets its bucket's smallest id; then the groups that a
-   bucket still holds are joined by their most alike pairs, fewer than it has members: near copies are most alike to
-   what they were made from. In buckets that are mixed after that, the members with an alike one in another group (their
-   signatures agree in LEAST of the slots, which a linked pair misses with a chance of 5e-8) are compared all with all on
-   full sets, by matrix products inside blocks of at most some hundred members that tasks share out, and only links
-   that join groups come out.
+4. Candidates stay linear in the buckets' members. First each member meets its bucket's smallest class. Buckets that
+   still hold several groups are dealt out in blocks of about BLOCK members, each with the same PIVOTS members from
+   outside the bucket's largest group, and the groups of a block are joined by their most alike pairs. Then a bucket of
+   one block, or one with no more than PIVOTS members outside its largest group, is finished: its blocks hold every
+   pair that could still join groups, members with an alike one in another group (their signatures agree in LEAST of
+   the slots, which a linked pair misses with a chance of 5e-8) are compared on full sets by matrix products, and links
+   that join groups come out. A bucket that is neither is split by SPLITS bands of further slots, drawn from its key,
+   and its parts are worked off alike. After LEVELS such splits the members outside the largest group take turns as
+   pivots until each has been one, so the rest is compared in full, in rounds that are each linear.
 5. Candidates are confirmed on full sets, cut from the texts again for the classes that are in one. Links grow into
    components by alternating large and small stars, round by round on tables in the shared folder.
 
+Joins by a key that many rows share (a bucket, a pivot) deal that key out over several tasks (`spread_join`).
+
 Defined results: words are what stands between [\\x20\\x09-\\x0D], with A-Z in lower case; fewer than five words are one
-shingle; null, empty and blank texts have no shingle, are linked with nothing and are kept; rows that repeat an id are
-one document where their texts are equal; an empty table gives an empty table; other columns are not read.
+shingle; null, empty and blank texts have no shingle, are linked with nothing, and have their own id as component.
+Rows are grouped by their texts, so an id that stands in rows of different texts joins nothing, and each of its rows
+gets the component of its own text. component_id is the smallest id in a component that isn't null; rows with a null
+id take part, and are kept only where their whole component has null ids (component_id is null then). Rows that repeat
+id and text each give the same row. An empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,7 +48,8 @@ WIDTH = 5
 SLOTS, ROWS = 128, 4
 BANDS = SLOTS // ROWS
 LEAST = 0.55
-BLOCK = 512
+BLOCK, PIVOTS = 1024, 128
+SPLITS, LEVELS = 6, 4
 #: Up to so many ids are broadcast (8 bytes each); beyond, rows are joined by shuffles.
 BROADCAST_IDS = 500_000
 UNSET = np.uint64(2**64 - 1)
@@ -133,8 +142,14 @@ def bands_of(sig: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def text_key(text: str) -> int:
+    """What Spark's xxhash64 gives for the text."""
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42)
+    return h - 2**64 if h >= 2**63 else h
+
+
 def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, set_key, buckets, sig (a byte for each slot) of each text."""
+    """doc_id, text_key, n_shingles, set_key, buckets, sig (a byte for each slot) of each text."""
 
     def start():
         def work(ids: list, texts: list[str]) -> list:
@@ -143,29 +158,28 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             small = (mix(sig) & np.uint64(255)).astype(np.uint8)
             bands = bands_of(sig)
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            return [ids, [s.size for s in sets], keys, [b.tolist() if s.size else [] for b, s in zip(bands, sets, strict=True)], [x.tobytes() for x in small]]
+            return [ids, [text_key(t) for t in texts], [s.size for s in sets], keys, [b.tolist() if s.size else [] for b, s in zip(bands, sets, strict=True)], [x.tobytes() for x in small]]
 
         return work
 
-    return map_texts(docs, "doc_id long, n_shingles long, set_key binary, buckets array<long>, sig binary", start, id_col, text_col)
+    return map_texts(docs, "doc_id long, text_key long, n_shingles long, set_key binary, buckets array<long>, sig binary", start, id_col, text_col)
 
 
 def full_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id and its set as sorted numbers of 48 bits; two texts of 40,000 shingles differ in it with a chance of 1 - 3e-6."""
+    """id, set_key and the set, as sorted 64-bit hashes, of each text."""
 
     def start():
         def work(ids: list, texts: list[str]) -> list:
-            return [ids, [np.sort(s >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in shingle_sets(texts)]]
+            packed = [s.tobytes() for s in shingle_sets(texts)]
+            return [ids, [hashlib.blake2b(p, digest_size=16).digest() for p in packed], packed]
 
         return work
 
-    return map_texts(docs, "doc_id long, members binary", start, id_col, text_col)
+    return map_texts(docs, "rep long, set_key binary, members binary", start, id_col, text_col)
 
 
 def _numbers(packed: bytes) -> np.ndarray:
-    out = np.zeros((len(packed) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
+    return np.frombuffer(packed, np.uint64)
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,10 +204,27 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFrame:
+    """left joined to right, which has one row for each key; rows of left that share a key with many are dealt out.
+
+    A key is spread if it has over a quarter of a task's fair share of left's rows (512 at least), so there are at
+    most four such keys for each shuffle partition, whatever the input: these are what is broadcast.
+    """
+    spark = left.sparkSession
+    bar = max(512, left.count() // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    hot = left.groupBy(key).count().where(F.col("count") > bar).select(key, F.ceil(F.col("count") / bar).cast("int").alias("parts"))
+    hot = materialize(spark, hot, "hot")
+    if hot.isEmpty():
+        return left.join(right, key)
+    salted = left.join(F.broadcast(hot), key, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(by, F.lit(11)), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+    each = right.join(F.broadcast(hot), key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return salted.join(each, [key, "salt"]).drop("salt")
+
+
 def _with_both(pairs: DataFrame, of: DataFrame, value: str) -> DataFrame:
-    """a, b and the value of each; the larger id's, which repeats less, is joined first."""
-    one = pairs.join(of.select(F.col("rep").alias("b"), F.col(value).alias("of_b")), "b")
-    return one.join(of.select(F.col("rep").alias("a"), F.col(value).alias("of_a")), "a").select("a", "b", "of_a", "of_b")
+    """a, b and the value of each; a is the smaller one, which may be in very many pairs."""
+    one = spread_join(pairs, of.select(F.col("rep").alias("a"), F.col(value).alias("of_a")), "a", "b")
+    return one.join(of.select(F.col("rep").alias("b"), F.col(value).alias("of_b")), "b").select("a", "b", "of_a", "of_b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -216,11 +247,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
-    """The rows (bucket, i, j, block, rep, root, sig), sorted by the first three, of each (bucket, i, j)."""
+    """The rows (bucket, part, rep, root, value), sorted by the first two, of each (bucket, part)."""
     rows: list = []
     for batch in batches:
         for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if rows and rows[0][:3] != r[:3]:
+            if rows and rows[0][:2] != r[:2]:
                 yield rows
                 rows = []
             rows.append(r)
@@ -235,9 +266,11 @@ def _pairs(a: list[int], b: list[int]) -> pa.RecordBatch:
 def _block_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each block the most alike pairs that would join its groups: fewer pairs than members (Boruvka's rounds)."""
     for rows in _blocks(batches):
-        ids = [r[4] for r in rows]
-        _, group = np.unique(np.array([r[5] for r in rows], np.int64), return_inverse=True)
-        sig = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(-1, SLOTS)
+        ids = [r[2] for r in rows]
+        _, group = np.unique(np.array([r[3] for r in rows], np.int64), return_inverse=True)
+        if not group.max():
+            continue
+        sig = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(-1, SLOTS)
         like = np.empty((len(rows), len(rows)), np.uint8)
         for i in range(len(rows)):
             like[i] = (sig == sig[i]).sum(axis=1)
@@ -262,27 +295,26 @@ def _block_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield _pairs(a, b)
 
 
+_member = pa.schema([("bucket", pa.int64()), ("part", pa.int32()), ("rep", pa.int64()), ("root", pa.int64())])
+
+
 def _block_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each block those members that have an alike one of another group, between blocks i and j if these differ."""
+    """Of each block those members that have an alike one of another group."""
     for rows in _blocks(batches):
-        roots = np.array([r[5] for r in rows], np.int64)
-        block = np.array([r[3] for r in rows], np.int64)
-        sig = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(-1, SLOTS)
-        within, hit = rows[0][1] == rows[0][2], np.zeros(len(rows), bool)
+        roots = np.array([r[3] for r in rows], np.int64)
+        sig = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(-1, SLOTS)
+        hit = np.zeros(len(rows), bool)
         for k in range(len(rows)):
             if not hit[k]:
-                near = np.flatnonzero((roots != roots[k]) & (within | (block != block[k])))
+                near = np.flatnonzero(roots != roots[k])
                 near = near[(sig[near] == sig[k]).sum(axis=1) >= LEAST * SLOTS]
                 hit[near] = True
                 hit[k] = near.size > 0
-        kept = [rows[k][:6] for k in np.flatnonzero(hit).tolist()]
+        kept = [rows[k][:4] for k in np.flatnonzero(hit).tolist()]
         if kept:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept, strict=True), _member.types, strict=True)], schema=_member)
 
 
-_member = pa.schema([("bucket", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("block", pa.int32()), ("rep", pa.int64()), ("root", pa.int64())])
-
-
 def _block_links(batches: Iterator[pa.RecordBatch], columns: int = 4096) -> Iterator[pa.RecordBatch]:
     """Links by full sets between members of different groups; as few as join what they join.
 
@@ -290,8 +322,8 @@ def _block_links(batches: Iterator[pa.RecordBatch], columns: int = 4096) -> Iter
     one member alone don't matter.
     """
     for rows in _blocks(batches):
-        ids, n = [r[4] for r in rows], len(rows)
-        sets = [_numbers(r[6]) for r in rows]
+        ids, n = [r[2] for r in rows], len(rows)
+        sets = [_numbers(r[4]) for r in rows]
         sizes = np.array([s.size for s in sets])
         _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         shared = times > 1
@@ -307,10 +339,7 @@ def _block_links(batches: Iterator[pa.RecordBatch], columns: int = 4096) -> Iter
             strip[owner[at], column[at] - lo] = 1
             both += strip @ strip.T
         link = 100 * both >= 75 * (sizes[:, None] + sizes[None, :] - both)
-        roots, block = np.array([r[5] for r in rows], np.int64), np.array([r[3] for r in rows])
-        if rows[0][1] != rows[0][2]:
-            link &= block[:, None] != block[None, :]
-        _, group = np.unique(roots, return_inverse=True)
+        _, group = np.unique(np.array([r[3] for r in rows], np.int64), return_inverse=True)
         a, b = [], []
         for k in range(n):
             for t in np.flatnonzero(link[k] & (group != group[k])).tolist():
@@ -322,92 +351,156 @@ def _block_links(batches: Iterator[pa.RecordBatch], columns: int = 4096) -> Iter
             yield _pairs(a, b)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row."""
-    spark = docs.sparkSession
-    sketches = materialize(spark, sketch(docs, id_col, text_col), "sketches")
-    filled = sketches.where("n_shingles > 0")
-    classes = filled.groupBy("set_key").agg(F.min(F.struct("doc_id", "buckets", "sig")).alias("c"))
-    classes = materialize(spark, classes.select("set_key", F.col("c.doc_id").alias("rep"), "c.buckets", "c.sig"), "classes")
-    sigs = classes.select("rep", "sig")
-
-    dealt = classes.select("rep", F.explode("buckets").alias("bucket"))
-    shared = dealt.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = materialize(spark, dealt.join(shared, "bucket").select("bucket", "rep", "pivot", "size"), "buckets")
-
-    sets: list[DataFrame] = []  # of the classes that have been in a pair, in as many parts as rounds
-    tried: list[DataFrame] = []
-
-    def with_sets(wanted: DataFrame) -> DataFrame:
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SPLITS narrower buckets of each (bucket, rep, sig): by ROWS slots each that the bucket's key draws."""
+    for batch in batches:
+        if batch.num_rows:
+            bucket = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, SLOTS)
+            for j in range(SPLITS):
+                draw = mix(bucket + _steps[j])
+                key, row = draw, np.arange(len(sig))
+                for r in range(ROWS):
+                    slot = ((draw >> np.uint64(8 * r)) % np.uint64(SLOTS)).astype(np.int64)
+                    key = mix(key * _odd[3] + sig[row, slot].astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(1)], names=["bucket", "rep"])
+
+
+class _Groups:
+    """Classes, the sets that were cut so far, and the groups that links have joined (node, root)."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame):
+        self.spark, self.docs, self.classes = docs.sparkSession, docs, classes
+        self.sigs = classes.select("rep", "sig")
+        self.sets: list[DataFrame] = []  # in as many parts as rounds
+        self.roots: DataFrame | None = None
+
+    def with_sets(self, wanted: DataFrame) -> DataFrame:
         """The sets of all classes so far, with those of `wanted` (rep, distinct)."""
-        for s in sets:
+        for s in self.sets:
             wanted = wanted.join(s.select("rep"), "rep", "left_anti")
-        wanted = materialize(spark, wanted, "wanted")
-        if not wanted.isEmpty():
+        wanted = materialize(self.spark, wanted.join(self.classes.select("rep", "set_key", "text_key", "first_id"), "rep"), "wanted")
+        if not self.sets or not wanted.isEmpty():
             few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-            one = wanted.select(F.col("rep").alias("doc_id"))
-            texts = id_text(docs, id_col, text_col).join(F.broadcast(one) if few else one, "doc_id", "left_semi")
-            cut = full_sets(texts, "doc_id", "text").withColumnRenamed("doc_id", "rep")
-            sets.append(materialize(spark, cut.dropDuplicates(["rep"]) if repeated else cut, "sets"))
-        have = sets[0]
-        for s in sets[1:]:
+            one = wanted.select("rep", F.col("text_key").alias("k"), F.col("first_id").alias("i"))
+            texts = self.docs.withColumn("text_key", F.xxhash64("text"))
+            texts = texts.join(F.broadcast(one) if few else one, (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("i")))
+            cut = full_sets(texts.select("rep", "text"), "rep", "text")
+            # a text whose key another one shares isn't the class's; a row that stands twice counts once
+            cut = cut.join(wanted.select("rep", "set_key"), ["rep", "set_key"], "left_semi") if not few else cut.join(F.broadcast(wanted.select("rep", "set_key")), ["rep", "set_key"], "left_semi")
+            cut = cut.select("rep", "members")
+            self.sets.append(materialize(self.spark, cut.dropDuplicates(["rep"]) if self.repeated else cut, "sets"))
+        have = self.sets[0]
+        for s in self.sets[1:]:
             have = have.unionByName(s)
         return have
 
-    def confirmed(pairs: DataFrame, alike: bool) -> DataFrame:
-        """The links among pairs (a < b) that weren't tried before."""
-        pairs = pairs.distinct()
-        for t in tried:
-            pairs = pairs.join(t, ["a", "b"], "left_anti")
+    def confirmed(self, pairs: DataFrame, alike: bool) -> DataFrame:
+        """The links among pairs (a < b); `alike`: their signatures were compared before."""
+        pairs = materialize(self.spark, pairs.distinct(), "pairs")
         if not alike:
-            pairs = _with_both(pairs, sigs, "sig").mapInArrow(_alike, "a long, b long")
-        pairs = materialize(spark, pairs, "pairs")
+            pairs = materialize(self.spark, _with_both(pairs, self.sigs, "sig").mapInArrow(_alike, "a long, b long"), "alike")
         if pairs.isEmpty():
             return pairs
-        tried.append(pairs)
-        have = with_sets(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct())
-        return materialize(spark, _with_both(pairs, have, "members").mapInArrow(_linked, "a long, b long"), "links")
-
-    # an id may stand in several rows; then its set must not be joined twice
-    repeated = sketches.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-
-    links = confirmed(members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")), False)
-    roots = components(links)
-
-    def mixed(of: DataFrame) -> DataFrame:
-        """The members of buckets that hold more than one group."""
-        of = of.select("bucket", "rep", "size")
-        at = of.join(roots, of.rep == roots.node, "left").select("bucket", "rep", "size", F.coalesce("root", "rep").alias("root"))
-        split = at.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-        return materialize(spark, at.join(split, "bucket", "left_semi"), "mixed")
-
-    def dealt_out(of: DataFrame) -> DataFrame:
-        """Members in blocks: each (bucket, i, j) holds the members of blocks i and j."""
-        parts = F.ceil(F.col("size") / BLOCK).cast("int")
-        blocks = of.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), parts).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1)))
-        blocks = blocks.select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "rep", "root").join(sigs, "rep")
-        return blocks.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").select("bucket", "i", "j", "block", "rep", "root", "sig")
-
-    def joined_by(found: DataFrame) -> DataFrame:
-        return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
-
-    rest = mixed(members)
-    if not rest.isEmpty():
-        found = confirmed(dealt_out(rest).mapInArrow(_block_forest, "a long, b long"), True)
-        if not found.isEmpty():
-            roots = joined_by(found)
-            rest = mixed(rest)
-    if not rest.isEmpty():
-        ddl = "bucket long, i int, j int, block int, rep long, root long"
-        left = materialize(spark, dealt_out(rest).mapInArrow(_block_members, ddl), "left")
+        have = self.with_sets(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct())
+        return materialize(self.spark, _with_both(pairs, have, "members").mapInArrow(_linked, "a long, b long"), "links")
+
+    def join(self, links: DataFrame) -> bool:
+        """Whether there are links; they are joined to the groups."""
+        if links.isEmpty():
+            return False
+        if self.roots is not None:
+            links = links.unionByName(self.roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        self.roots = components(links)
+        return True
+
+    def mixed(self, members: DataFrame) -> DataFrame:
+        """The members (bucket, rep) of buckets that hold several groups: bucket, rep, root, size, lesser, less.
+
+        lesser: whether the member is outside the bucket's largest group; less: how many are.
+        """
+        at = members.select("bucket", "rep")
+        if self.roots is None:
+            at = at.withColumn("root", F.col("rep"))
+        else:
+            at = at.join(self.roots, at.rep == self.roots.node, "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
+        at = materialize(self.spark, at, "rooted")
+        groups = at.groupBy("bucket", "root").count().groupBy("bucket")
+        stats = groups.agg(F.sum("count").alias("size"), F.max(F.struct("count", "root")).alias("top")).where("size > top.count")
+        stats = materialize(self.spark, stats.select("bucket", "size", F.col("top.root").alias("top"), (F.col("size") - F.col("top.count")).alias("less")), "mixed")
+        if stats.isEmpty():
+            return at.where("false").select("bucket", "rep", "root", F.lit(0).cast("long").alias("size"), F.lit(True).alias("lesser"), F.lit(0).cast("long").alias("less"))
+        full = spread_join(at, stats, "bucket", "rep").select("bucket", "rep", "root", "size", (F.col("root") != F.col("top")).alias("lesser"), "less")
+        return materialize(self.spark, full, "mixed")
+
+    def blocks(self, of: DataFrame, turn: int) -> DataFrame:
+        """bucket, part, rep, root: members of mixed buckets in blocks, with the same pivots in each block of a bucket."""
+        parts, turns = F.ceil(F.col("size") / BLOCK).cast("int"), F.ceil(F.col("less") / PIVOTS)
+        own = F.pmod(F.xxhash64("rep", F.lit(turn)), parts).cast("int")
+        pivots = of.where("lesser").where(F.pmod(F.xxhash64("rep", F.lit(-1)), turns) == turn % turns)
+        others = pivots.select("bucket", F.explode(F.filter(F.sequence(F.lit(0), parts - 1), lambda p: p != own)).alias("part"), "rep", "root")
+        return of.select("bucket", own.alias("part"), "rep", "root").unionByName(others)
+
+    def in_blocks(self, of: DataFrame, values: DataFrame, value: str) -> DataFrame:
+        keys = ["bucket", "part"]
+        return of.join(values.select("rep", value), "rep").repartition(*keys).sortWithinPartitions(*keys).select(*keys, "rep", "root", value)
+
+    def finish(self, of: DataFrame, turn: int) -> None:
+        """Join groups by all links inside blocks."""
+        ddl = "bucket long, part int, rep long, root long"
+        left = materialize(self.spark, self.in_blocks(self.blocks(of, turn), self.sigs, "sig").mapInArrow(_block_members, ddl), "left")
         if not left.isEmpty():
-            full = left.join(with_sets(left.select("rep").distinct()), "rep")
-            full = full.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").select("bucket", "i", "j", "block", "rep", "root", "members")
-            found = materialize(spark, full.mapInArrow(_block_links, "a long, b long"), "links")
-            if not found.isEmpty():
-                roots = joined_by(found)
+            have = self.with_sets(left.select("rep").distinct())
+            self.join(materialize(self.spark, self.in_blocks(left, have, "members").mapInArrow(_block_links, "a long, b long"), "links"))
+
+    def settle(self, members: DataFrame, level: int = 0) -> None:
+        """Join the groups of members (bucket, rep) by the links that their buckets hold."""
+        if level == 0:
+            pivots = members.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
+            members = materialize(self.spark, spread_join(members, materialize(self.spark, pivots, "pivots"), "bucket", "rep"), "buckets")
+            pairs = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+            self.join(self.confirmed(pairs, False))
+        rest = self.mixed(members)
+        if level == 0 and not rest.isEmpty():
+            in_blocks = self.in_blocks(self.blocks(rest, 0), self.sigs, "sig")
+            if self.join(self.confirmed(in_blocks.mapInArrow(_block_forest, "a long, b long"), True)):
+                rest = self.mixed(rest)
+        narrow = rest.where((F.col("size") <= BLOCK) | (F.col("less") <= PIVOTS))
+        if not narrow.isEmpty():
+            self.finish(narrow, 0)
+        wide = rest.where((F.col("size") > BLOCK) & (F.col("less") > PIVOTS))
+        if wide.isEmpty():
+            return
+        if level < LEVELS:
+            split = wide.select("bucket", "rep").join(self.sigs, "rep").select("bucket", "rep", "sig").mapInArrow(_split, "bucket long, rep long")
+            self.settle(materialize(self.spark, split, "split"), level + 1)
+            return
+        turns = wide.agg(F.max(F.ceil(F.col("less") / PIVOTS)).alias("turns")).first().turns
+        for turn in range(turns):
+            self.finish(wide.where(F.ceil(F.col("less") / PIVOTS) > turn), turn)
+
 
-    grouped = classes.select("set_key", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("root", "rep").alias("component"))
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row."""
+    spark, docs = docs.sparkSession, id_text(docs, id_col, text_col)
+    sketches = materialize(spark, sketch(docs, "doc_id", "text"), "sketches")
+    filled = sketches.where("n_shingles > 0")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
+    classes = filled.groupBy("set_key").agg(first, F.first("buckets").alias("buckets"), F.first("sig").alias("sig"))
+    # written with its numbers, which stand for the classes from then on
+    classes = classes.select("set_key", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("text_key"), F.monotonically_increasing_id().alias("rep"), "buckets", "sig")
+    classes = materialize(spark, classes, "classes")
+    groups = _Groups(docs, classes)
+    groups.repeated = filled.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count() > 0
+    groups.settle(classes.select(F.explode("buckets").alias("bucket"), "rep"))
+
+    of = classes.select("set_key", "first_id", "rep")
+    if groups.roots is None:
+        grouped = of.select("set_key", F.col("first_id").alias("component"))
+    else:
+        of = of.join(groups.roots, of.rep == groups.roots.node, "left").select("set_key", "first_id", F.coalesce("root", "rep").alias("root"))
+        least = of.groupBy("root").agg(F.min("first_id").alias("component"))
+        grouped = of.join(least, "root").select("set_key", "component")
     out = sketches.select("doc_id", "n_shingles", "set_key").join(grouped, "set_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))

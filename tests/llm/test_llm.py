@@ -11,6 +11,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -281,31 +282,64 @@ def test_components_of_chains_and_stars(spark):
     assert got == want
 
 
-def test_blocks_compare_across_and_within():
-    import pyarrow as pa
-
+def test_blocks_compare_their_members():
     from granary.llm.near_dup import SLOTS, _block_forest, _block_links, _block_members
 
-    same, other = bytes(SLOTS), bytes([9]) * SLOTS
+    rng = np.random.default_rng(1)
+    base, other = rng.integers(0, 256, (2, SLOTS)).astype(np.uint8)
+    near = base.copy()
+    near[: SLOTS // 4] = 0
+    value = [x.tobytes() for x in (base, near, other)]
+    names = ["bucket", "part", "rep", "root", "value"]
+
+    def batches(values):
+        return iter([pa.RecordBatch.from_arrays([pa.array(c) for c in ([7, 7, 7], [0, 0, 0], [1, 2, 3], [1, 2, 3], values)], names=names)])
+
+    assert [r for b in _block_forest(batches(value)) for r in b.to_pylist()] == [{"a": 1, "b": 2}]
+    assert [r["rep"] for b in _block_members(batches(value)) for r in b.to_pylist()] == [1, 2]
+    sets = [np.sort(x).tobytes() for x in (np.arange(100, dtype=np.uint64), np.arange(15, 100, dtype=np.uint64), np.arange(60, 160, dtype=np.uint64))]
+    assert [r for b in _block_links(batches(sets)) for r in b.to_pylist()] == [{"a": 1, "b": 2}]
+
+
+@pytest.mark.parametrize("levels", [0, 1])
+def test_near_duplicates_in_wide_buckets(spark, monkeypatch, levels):
+    """Buckets that are larger than a block are split, and then compared in turns, with the result of brute force."""
+    from granary.llm import near_dup
 
-    def batch(rows):
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-        return iter([pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=list("cijkrts"))])
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    monkeypatch.setattr(near_dup, "PIVOTS", 2)
+    monkeypatch.setattr(near_dup, "LEVELS", levels)
+    rng = random.Random(3)
+    passage = " ".join(f"p{k}" for k in range(70))  # shared by all, which links none
+    texts = []
+    for k in range(14):
+        own = [f"{k}q{j}" for j in range(45)]
+        texts += [f"{passage} {t}" for t in variants(rng, own, 3, 1)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_components(texts_of(df))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df).collect()} == want
+    assert len({c for _, c in want.values()}) == 14
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    from granary.llm.near_dup import near_duplicates
 
-    def out(work, rows):
-        return [tuple(r.values()) for b in work(batch(rows)) for r in b.to_pylist()]
+    words = [f"w{k}" for k in range(60)]
+    text, near, other = " ".join(words), " ".join([*words[:-1], "x"]), " ".join(f"v{k}" for k in range(60))
+    rows = [(None, text), (5, text), (6, near), (7, text), (7, other), (8, other + " y"), (None, "no one else says this"), (9, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(str((r.doc_id, r.n_shingles, r.component_id, r.kept)) for r in near_duplicates(df).collect())
+    n = 56
+    want = [(None, n, 5, False), (5, n, 5, True), (6, n, 5, False), (7, n, 5, False), (7, n, 7, True), (8, n + 1, 7, False), (None, 1, None, True), (9, 0, 9, True), (None, 0, None, True)]
+    assert got == sorted(map(str, want))
 
-    rows = [(1, 0, 0, 0, 10, 10, same), (1, 0, 0, 0, 11, 11, same), (1, 0, 0, 0, 12, 12, other), (1, 0, 1, 0, 10, 10, same), (1, 0, 1, 1, 20, 20, same), (1, 0, 1, 1, 21, 10, same)]
-    assert {r[4] for r in out(_block_members, rows) if r[2] == 0} == {10, 11}
-    assert {r[4] for r in out(_block_members, rows) if r[2] == 1} == {10, 20}
-    assert (10, 11) in out(_block_forest, rows)
 
-    def numbers(*xs):
-        return b"".join(x.to_bytes(6, "little") for x in xs)
+def test_spread_join_keeps_all_rows(spark):
+    from granary.llm.near_dup import spread_join
 
-    sets = {10: numbers(*range(8)), 11: numbers(*range(1, 9)), 12: numbers(*range(100, 108)), 20: numbers(*range(7)), 21: numbers(*range(6))}
-    linked = out(_block_links, [(*r[:6], sets[r[4]]) for r in rows])
-    assert linked == [(10, 11), (10, 20)]  # 7 of 9 and 7 of 8; 10 and 21 are one group already
+    left = spark.range(6000).selectExpr("if(id < 5000, 0, id) as k", "id as v")
+    right = spark.range(0, 6000, 2).selectExpr("id as k", "id * 2 as w")
+    assert sorted(map(tuple, spread_join(left, right, "k", "v").collect())) == sorted(map(tuple, left.join(right, "k").collect()))
 
 
 # 4
