@@ -52,6 +52,8 @@ BLOCK, PIVOTS = 1024, 128
 SPLITS, LEVELS = 6, 4
 #: Up to so many ids are broadcast (8 bytes each); beyond, rows are joined by shuffles.
 BROADCAST_IDS = 500_000
+#: Up to so many links are united in one task (about 100 MB of its memory); beyond, by rounds of joins.
+ONE_TASK = 500_000
 UNSET = np.uint64(2**64 - 1)
 _odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -204,16 +206,21 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, sizes: DataFrame | None = None) -> DataFrame:
     """left joined to right, which has one row for each key; rows of left that share a key with many are dealt out.
 
     A key is spread if it has over a quarter of a task's fair share of left's rows (512 at least), so there are at
-    most four such keys for each shuffle partition, whatever the input: these are what is broadcast.
+    most four such keys for each shuffle partition, whatever the input: these are what is broadcast. `sizes` (key,
+    size) saves counting left's keys.
     """
     spark = left.sparkSession
-    bar = max(512, left.count() // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    hot = left.groupBy(key).count().where(F.col("count") > bar).select(key, F.ceil(F.col("count") / bar).cast("int").alias("parts"))
-    hot = materialize(spark, hot, "hot")
+    if sizes is None:
+        sizes = materialize(spark, left.groupBy(key).agg(F.count(F.lit(1)).alias("size")).where("size > 512"), "sizes")
+        total = left.count() if not sizes.isEmpty() else 0
+    else:
+        total = sizes.agg(F.sum("size")).first()[0] or 0
+    bar = max(512, total // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    hot = sizes.where(F.col("size") > bar).select(key, F.ceil(F.col("size") / bar).cast("int").alias("parts"))
     if hot.isEmpty():
         return left.join(right, key)
     salted = left.join(F.broadcast(hot), key, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(by, F.lit(11)), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
@@ -227,12 +234,37 @@ def _with_both(pairs: DataFrame, of: DataFrame, value: str) -> DataFrame:
     return one.join(of.select(F.col("rep").alias("b"), F.col(value).alias("of_b")), "b").select("a", "b", "of_a", "of_b")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, root (its component's smallest id) of every linked node that isn't a root itself."""
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of every linked node that isn't its component's smallest, from all edges (a, b)."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    nodes = [x for x in up if find(x) != x]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "root"])
+
+
+def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """node, root (its component's smallest id) of every linked node that isn't a root itself.
+
+    Up to `one_task` edges are united in one task; beyond, and with the same result, large and small stars alternate.
+    """
     spark = links.sparkSession
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    first = True
     while True:
         edges = materialize(spark, edges, "edges")
+        if first and edges.count() <= one_task:
+            return materialize(spark, edges.coalesce(1).mapInArrow(_union_find, "node long, root long"), "roots")
+        first = False
         # done when they are stars: every child has one parent, and no parent is a child
         ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
         knots = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1")
@@ -424,13 +456,10 @@ class _Groups:
             at = at.withColumn("root", F.col("rep"))
         else:
             at = at.join(self.roots, at.rep == self.roots.node, "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
-        at = materialize(self.spark, at, "rooted")
         groups = at.groupBy("bucket", "root").count().groupBy("bucket")
         stats = groups.agg(F.sum("count").alias("size"), F.max(F.struct("count", "root")).alias("top")).where("size > top.count")
-        stats = materialize(self.spark, stats.select("bucket", "size", F.col("top.root").alias("top"), (F.col("size") - F.col("top.count")).alias("less")), "mixed")
-        if stats.isEmpty():
-            return at.where("false").select("bucket", "rep", "root", F.lit(0).cast("long").alias("size"), F.lit(True).alias("lesser"), F.lit(0).cast("long").alias("less"))
-        full = spread_join(at, stats, "bucket", "rep").select("bucket", "rep", "root", "size", (F.col("root") != F.col("top")).alias("lesser"), "less")
+        stats = materialize(self.spark, stats.select("bucket", "size", F.col("top.root").alias("top"), (F.col("size") - F.col("top.count")).alias("less")), "stats")
+        full = spread_join(at, stats, "bucket", "rep", stats.select("bucket", "size")).select("bucket", "rep", "root", "size", (F.col("root") != F.col("top")).alias("lesser"), "less")
         return materialize(self.spark, full, "mixed")
 
     def blocks(self, of: DataFrame, turn: int) -> DataFrame:
@@ -457,7 +486,8 @@ class _Groups:
         """Join the groups of members (bucket, rep) by the links that their buckets hold."""
         if level == 0:
             pivots = members.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
-            members = materialize(self.spark, spread_join(members, materialize(self.spark, pivots, "pivots"), "bucket", "rep"), "buckets")
+            pivots = materialize(self.spark, pivots, "pivots")
+            members = materialize(self.spark, spread_join(members, pivots, "bucket", "rep", pivots.select("bucket", "size")), "buckets")
             pairs = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
             self.join(self.confirmed(pairs, False))
         rest = self.mixed(members)
