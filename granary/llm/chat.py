@@ -1,8 +1,8 @@
 """Chat formatting with typed content parts (operator 7).
 
-A visitor walks the parts of a message in order: text is escaped and written out; an image, an audio clip or a document
-becomes one placeholder, and what it stands for is recorded as an attachment with its reference and the number of
-tokens that it expands to. Formatting works row by row. Reading back parses the formatted turns, takes off the escapes
+A visitor walks the parts of a message in order: text is written out, escaped as a whole where text parts follow one
+another, so that no control string arises where two of them meet; an image, an audio clip or a document becomes one placeholder, and
+what it stands for is recorded as an attachment with its reference and the number of tokens that it expands to. Formatting works row by row. Reading back parses the formatted turns, takes off the escapes
 and digests each conversation turn by turn in order, so a conversation of any length needs only the digests' memory.
 
 Template: `<|im_start|>ROLE\\nCONTENT<|im_end|>\\n`. Escapes: a backslash before `\\` and before the `|` of `<|`, so no
@@ -19,11 +19,12 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.batches import arrow_schema
+from granary.llm.batches import SLICE_CHARS, arrow_schema
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Tokens that a part expands to where it doesn't say so itself: for each image tile, second of audio, page.
@@ -49,17 +50,27 @@ def unescape(text: str) -> str:
 
 
 class PartVisitor:
-    """Flattens a message: .out is its formatted content, .attachments what the placeholders stand for."""
+    """Flattens a message: content() is its formatted content, .attachments what the placeholders stand for."""
 
     def __init__(self):
         self.out: list[str] = []
+        self.run: list[str] = []  # text parts that follow one another
         self.attachments: list[dict] = []
 
+    def content(self) -> str:
+        self._close_run()
+        return "".join(self.out)
+
+    def _close_run(self) -> None:
+        # a run's last "<" stands before a placeholder's "<|" or the end's, and makes no control string with it
+        self.out.append(escape("".join(self.run)))
+        self.run.clear()
+
     def visit(self, part: dict) -> None:
         getattr(self, f"visit_{part.get('type') or 'text'}", self.visit_other)(part)
 
     def visit_text(self, part: dict) -> None:
-        self.out.append(escape(part.get("text") or ""))
+        self.run.append(part.get("text") or "")
 
     def visit_image(self, part: dict) -> None:
         tiles = -(-(part.get("width") or TILE) // TILE) * -(-(part.get("height") or TILE) // TILE)
@@ -75,6 +86,7 @@ class PartVisitor:
         raise ValueError(f"no such content part: {part.get('type')}")
 
     def _attach(self, kind: str, part: dict, tokens: int) -> None:
+        self._close_run()
         self.out.append(f"<|{kind}|>")
         self.attachments.append({"ordinal": len(self.attachments), "kind": kind, "ref": part.get("ref"), "tokens": part.get("tokens") or tokens})
 
@@ -85,10 +97,23 @@ def format_turn(role: str, parts: list[dict]) -> tuple[str, int, int, list[dict]
     for p in parts:
         v.visit(p)
     head = f"{START}{escape_role(role)}\n"
-    body = "".join(v.out)
+    body = v.content()
     return f"{head}{body}{END}\n", len(head), len(head) + len(body), v.attachments
 
 
+def _spans(batch: pa.RecordBatch, rows: int = 2000) -> Iterator[tuple[int, int]]:
+    """(start, length) of slices of at most `rows` rows and about SLICE_CHARS bytes of text, or of one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+    lo = held = 0
+    for i, size in enumerate(sizes):
+        if i > lo and (i - lo >= rows or held + size > SLICE_CHARS):
+            yield lo, i - lo
+            lo, held = i, 0
+        held += size
+    if lo < len(sizes):
+        yield lo, len(sizes) - lo
+
+
 def format_turns(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", parts_col: str | None = None) -> DataFrame:
     """conv_id, turn, formatted, loss_start, loss_end (equal where a turn isn't the assistant's), attachments, attached_tokens.
 
@@ -100,9 +125,9 @@ def format_turns(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
+            for lo, n in _spans(batch):
                 rows = []
-                for r in batch.slice(lo, 2000).to_pylist():
+                for r in batch.slice(lo, n).to_pylist():
                     role, parts = r["role"] or "", r["parts"]
                     if parts is None:
                         parts = [{"type": "text", "text": r["text"]}]
@@ -159,4 +184,6 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if reader is not None:
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(reader.row(now), out.types, strict=True)], schema=out)
 
-    return formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted").select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(run, schema)
+    # ties go by the text as it was, which stands after the role's line without its escapes
+    text = F.regexp_replace(F.expr(f"substr(formatted, instr(formatted, '\n') + 1, length(formatted) - instr(formatted, '\n') - {len(END) + 1})"), r"(?s)\\(.)", "$1")
+    return formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", text).select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(run, schema)
