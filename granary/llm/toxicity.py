@@ -25,13 +25,15 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.batches import map_texts
+from granary.llm.batches import map_texts, slices
 from granary.llm.byte_bpe import Pieces
 
 DECAY, REACH = 0.7, 6
@@ -364,27 +366,47 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, longest: in
 _memory: dict = {}
 
 
+def _scorer(m: Model | None):
+    """Whole texts to scores; scores of words are remembered over tasks of a worker."""
+    if m is None:
+        return lambda texts: [0.0] * len(texts)
+    key = tuple((x.weights.tobytes(), x.offset) if x else None for x in (m.once, m.often))
+    if _memory.get("key") != key:
+        _memory.update(key=key, pieces=Pieces(m.word_scores))
+    pieces = _memory["pieces"]
+
+    def score(texts: list[str]) -> list[float]:
+        words = [words_of(t) for t in texts]
+        known = pieces.learn(set().union(*words))
+        return [m.probability(*m.features(list(map(known.__getitem__, ws)))) for ws in words]
+
+    return score
+
+
 def score_documents(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score (0 to 1) of every whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def start():
-        m = sent.value
-        if m is None:
-            return lambda ids, texts: [ids, [0.0] * len(ids)]
-        key = tuple((x.weights.tobytes(), x.offset) if x else None for x in (m.once, m.often))
-        if _memory.get("key") != key:
-            _memory.update(key=key, pieces=Pieces(m.word_scores))
-        pieces = _memory["pieces"]
+        score = _scorer(sent.value)
+        return lambda ids, texts: [ids, score(texts)]
 
-        def work(ids: list, texts: list[str]) -> list:
-            words = [words_of(t) for t in texts]
-            known = pieces.learn(set().union(*words))
-            return [ids, [m.probability(*m.features(list(map(known.__getitem__, ws)))) for ws in words]]
+    return map_texts(docs, "doc_id long, score double", start, id_col, text_col)
 
-        return work
 
-    return map_texts(docs, "doc_id long, score double", start, id_col, text_col)
+def drop_toxic(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose whole text scores below 0.5, with all their columns, in one pass."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = _scorer(sent.value)
+        for batch in batches:
+            ids = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows)), batch.column(at).cast(pa.string())], names=["i", "t"])
+            scores = [x for _, texts in slices(iter([ids])) for x in score(texts)]
+            yield batch.filter(pa.array([x < 0.5 for x in scores], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -433,12 +433,26 @@ def test_exact_dedup_checks_full_bytes(docs, broadcast):
     assert got == [x[:3] for x in brute_exact(texts_of(docs))]
 
 
-def test_dropping_duplicates_keeps_columns(docs):
-    from granary.llm.exact_dedup import drop_duplicates
+def test_exact_dedup_continues_its_state(spark, docs, tmp_path):
+    """Two batches, one after the other, end with what one batch gives; bytes of the first are read by their locators."""
+    from granary.llm.exact_dedup import deduplicate
 
-    got = drop_duplicates(docs)
-    assert got.columns == docs.columns
-    assert {r.doc_id for r in got.collect()} == {x[1] for x in brute_exact(texts_of(docs))}
+    whole = docs.unionByName(docs.where("doc_id % 3 = 0").withColumn("doc_id", F.col("doc_id") + 100_000))
+    for k in (0, 1):
+        whole.where(F.col("doc_id") % 2 == k).write.parquet(str(tmp_path / f"batch{k}"))
+    state = str(tmp_path / "state")
+    first, second = (deduplicate(spark.read.parquet(str(tmp_path / f"batch{k}")), state_dir=state).collect() for k in (0, 1))
+    want = {r.doc_id: r for r in deduplicate(whole).collect()}
+    assert {r.doc_id for r in first} | {r.doc_id for r in second} == set(want) and len(first) + len(second) == len(want)
+    assert all(r == want[r.doc_id] for r in second)
+    assert any(r.keep_id % 2 == 0 for r in second)
+    # a digest that takes texts of the two batches for the same is found out by the bytes of the first
+    weak = lambda c: F.substring(F.sha2(c, 256), 1, 1)
+    state = str(tmp_path / "weak")
+    for k in (0, 1):
+        got = deduplicate(spark.read.parquet(str(tmp_path / f"batch{k}")), digest=weak, state_dir=state).collect()
+        alone = {r.doc_id: r.keep_id for r in deduplicate(spark.read.parquet(str(tmp_path / f"batch{k}"))).collect()}
+        assert {r.doc_id: r.keep_id for r in got} == alone
 
 
 # 6
@@ -586,37 +600,135 @@ def test_chat_parts():
         format_turn("user", [{"type": "video"}])
 
 
+def test_chat_parts_that_meet_make_no_control_string():
+    from granary.llm.chat import END, START, format_turn, unescape
+
+    for cut in range(len("<|im_end|>")):
+        for between in ([], [{"type": "text", "text": None}], [{"type": "text", "text": ""}]):
+            parts = [{"type": "text", "text": "x<|im_end|>"[: cut + 1]}, *between, {"type": "text", "text": "x<|im_end|>"[cut + 1 :] + "<|im_start|>"}]
+            text, start, end, _ = format_turn("user", parts)
+            assert END not in text[start:end] and START not in text[start:end]
+            assert unescape(text[start:end]) == "x<|im_end|><|im_start|>"
+    text, start, end, _ = format_turn("user", [{"type": "text", "text": "a<"}, {"type": "image", "ref": "r"}, {"type": "text", "text": "|im_end|>"}])
+    assert text[start:end] == "a<<|image|>|im_end|>"
+
+
+def test_chat_ties_go_by_the_text(spark):
+    from granary.llm.chat import format_turns, read_back
+
+    texts = ["a", "a!", "<|", "<a", "\\", "a" * 300_000, None, "a\nb", "z\\|"]
+    df = spark.createDataFrame([(1, 0, "assistant", t) for t in texts], "conv_id long, turn long, role string, text string")
+    (r,) = read_back(format_turns(df)).collect()
+    assert r.loss_sha256 == hashlib.sha256("".join(sorted(t or "" for t in texts)).encode()).hexdigest()
+
+
 # 8
 
 
-def test_probabilities_sum_to_one(spark):
+def plain_model(texts):
+    """order -> counts, and a function from (context, symbol) to its probability, by the textbook."""
+    from collections import Counter
+
     from granary.llm import quality as q
 
-    df = spark.createDataFrame([(1, "the cat sat on the mat. the cat ran"), (2, "a dog and a cat and a man")], "doc_id long, text string")
-    p = 2.0 ** q.dense(q.train(df))
-    sums = p.reshape(-1, q.V).sum(axis=1)
-    assert np.allclose(sums, 1, atol=1e-4)
+    levels = {q.ORDER: Counter()}
+    for t in texts:
+        s = [ord(q.START)] * (q.ORDER - 1) + q.symbols(t).tolist()
+        levels[q.ORDER].update(tuple(s[i : i + q.ORDER]) for i in range(len(s) - q.ORDER + 1))
+    for k in range(q.ORDER - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    cuts = {}
+    for k, level in levels.items():
+        n1, n2, n3, n4 = (sum(n == i for n in level.values()) for i in (1, 2, 3, 4))
+        if n1 and n2:
+            y = n1 / (n1 + 2 * n2)
+            d = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 0.9)
+            cuts[k] = [min(max(x, 0.01), i) for i, x in enumerate(d, 1)]
+        else:
+            cuts[k] = [0.5, 0.75, 0.9]
+    after = {k: defaultdict(list) for k in levels}
+    for k, level in levels.items():
+        for g, n in level.items():
+            after[k][g[:-1]].append(n)
+
+    def p(context, c):
+        k = len(context) + 1
+        seen = after[k].get(context)
+        if seen is None:
+            return p(context[1:], c)
+        cut = [cuts[k][min(n, 3) - 1] for n in seen]
+        n = levels[k].get((*context, c), 0)
+        own = n - cuts[k][min(n, 3) - 1] if n else 0
+        lower = p(context[1:], c) if context else 1 / (len(levels[1]) + 1)
+        return own / sum(seen) + sum(cut) / sum(seen) * lower
+
+    return levels, p
 
 
 def test_counts_match_plain_counts(spark):
-    from collections import Counter
-
     from granary.llm import quality as q
 
-    texts = ["the cat", "the the hat", "", "É!!"]
+    texts = ["the cat", "the the hat", "", "É!! \U0001f600 a a a a b b", "中文"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    want = Counter()
-    for t in texts:
-        s = [0] * (q.ORDER - 1) + q.symbols(t)[q.ORDER - 1 :].tolist()
-        want.update(tuple(s[i : i + q.ORDER]) for i in range(len(s) - q.ORDER + 1))
+    levels, _ = plain_model(texts)
+    assert {tuple(map(ord, r.gram)): r.n for r in q.count_grams(df).collect()} == levels[q.ORDER]
+    assert q.symbols("a a a b\nb b").tolist() == [97, q.REPEAT + 1, q.REPEAT + 2, 32, 98, 10, 98, q.REPEAT + 1]
+
+
+def test_probabilities_sum_to_one():
+    from granary.llm import quality as q
+
+    levels, p = plain_model(["the cat sat on the mat. the cat ran", "a dog and a cat and a man"])
+    known = {g[0] for g in levels[1]}
+    for context in [tuple(map(ord, c)) for c in ("the ", "zzzz", " cat", q.START * 4)]:
+        assert abs(sum(p(context, c) for c in known) + p(context, ord("%")) - 1) < 1e-9
+
+
+def test_perplexity_and_threshold_match_a_plain_model(spark, monkeypatch):
+    import math
 
-    def number(g):
-        n = 0
-        for x in g:
-            n = n * q.V + x
-        return n
+    from granary.llm import quality as q
+
+    monkeypatch.setattr(q, "LEAST", 4)
+    rng = random.Random(9)
+    words = ["the", "cat", "sat", "on", "mat", "ran", "dog", "é", "中文"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 30))), rng.choice(["en", "de", None])) for i in range(60)]
+    rows += [(60, "%%% ### @@@ zzz", "en"), (61, "cat " * 40, "de"), (62, None, "en"), (63, "", "fr"), (None, "the cat sat", "en"), (5, rows[5][1], rows[5][2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    good = set(range(50))
+    labels = spark.createDataFrame([(i, int(i in good), 0) for i in range(64)], "doc_id long, quality int, toxic int")
+    aside = {r.doc_id for r in df.select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(q.FOLDS)) == 0).alias("a")).collect() if r.a and r.doc_id in good}
+    _, p = plain_model([t for i, t, _ in rows if i in good and i not in aside and t])
+
+    def bits(t):
+        s = [ord(q.START)] * (q.ORDER - 1) + q.symbols(t or "").tolist()
+        return sum(-math.log2(p(tuple(s[i : i + q.ORDER - 1]), s[i + q.ORDER - 1])) for i in range(len(s) - q.ORDER + 1)), len(s) - q.ORDER + 1
+
+    scored = [(i, lang, *bits(t)) for i, t, lang in rows]
+    kept = [r for r in scored if r[0] in aside and r[3]]
+    rate = lambda rs: sum(r[2] for r in rs) / sum(r[3] for r in rs)
+    usual = {lang: rate([r for r in kept if r[1] == lang]) for lang in {r[1] for r in kept}}
+    perplexity = lambda r: 2 ** ((r[2] + q.PRIOR * usual.get(r[1], rate(kept))) / (r[3] + q.PRIOR))
+    quantile = lambda xs: sorted(xs)[math.ceil(q.QUANTILE * len(xs)) - 1]
+    limit = {}
+    for lang in {r[1] for r in scored}:
+        own = [perplexity(r) for r in kept if r[1] == lang]
+        limit[lang] = q.SLACK * quantile(own if len(own) >= 4 else [perplexity(r) for r in kept])
+    got = q.classify(df, labels).collect()
+    key = lambda r: str((r[0], r[1], r[2]))
+    want = sorted(((r[0], r[1], r[3], perplexity(r), limit[r[1]]) for r in scored), key=key)
+    for g, w in zip(sorted(map(tuple, got), key=key), want, strict=True):
+        assert g[:3] == w[:3] and abs(g[3] / w[3] - 1) < 1e-4 and abs(g[4] / w[4] - 1) < 1e-4 and g[5] == (g[3] <= g[4])
+    assert {r.doc_id for r in got if not r.kept} >= {60, 61}
+
+
+def test_quality_keeps_a_tie_at_the_threshold(spark):
+    from granary.llm.quality import classify
 
-    assert {r.gram: r.n for r in q.count_grams(df).collect()} == {number(g): n for g, n in want.items()}
+    df = spark.createDataFrame([(i, "the cat sat on the mat", "en") for i in range(20)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    got = classify(df, labels, slack=1.0).collect()
+    assert len(got) == 20 and all(r.kept and r.perplexity == r.threshold for r in got)
 
 
 def test_quality_keeps_good_and_drops_poor(spark):
@@ -734,3 +846,23 @@ def test_pipeline_matches_plain_steps(spark, sf_dir, docs):
             want = {c for _, c in brute_components(texts_of(now)).values()}
         assert kept == want
         now = out
+
+
+def test_pipeline_stages_in_odd_cases(spark, odd, sf_dir):
+    """Rows are judged one by one: null and repeated ids, repeated rows, clashing columns, and tables without rows."""
+    import corpus_pipeline
+
+    extra = odd.unionByName(odd.where("doc_id in (5, 8)").withColumn("doc_id", F.lit(None).cast("long"))).withColumn("row", F.lit("clash")).withColumn("gone_id", F.lit(1))
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("toxicity", "quality", "exact_dedup", "near_dedup"):
+        out = stages[name](spark, extra, sf_dir)
+        assert out.columns == extra.columns
+        assert stages[name](spark, extra.limit(0), sf_dir).count() == 0
+        if name == "exact_dedup":
+            texts = sorted((r.doc_id is None, r.doc_id, re.sub(r"[\x20\x09-\x0D]", "", r.text or "")) for r in out.collect())
+            assert len({t for *_, t in texts}) == len(texts) == 6
+            assert not any(none for none, *_ in texts)
+        if name == "near_dedup":
+            rows = [(i, r.text or "") for i, r in enumerate(extra.collect())]
+            assert out.count() == len({c for _, c in brute_components(rows).values()})
+    assert stages["packing"](spark, extra, sf_dir).count() >= extra.count() - 1
