@@ -1,40 +1,58 @@
 """The corpus pipeline: stages applied one after the other, each written as Parquet and read again.
 
 Each stage takes (spark, docs, sf_dir), works on all documents that its predecessor kept, and returns the columns of
-documents, but for the last, which returns the pieces of packed sequences. Ids are held to be unique.
+documents, but for the last, which returns the pieces of packed sequences. Stages decide on rows, not on ids: where a
+stage needs a key, it numbers the rows, so rows with a null id or an id that others have too are judged by their own
+text, and of repeated rows the dedup stages keep one. Null and empty texts are one text to exact dedup, which keeps one
+of them; empty tables pass through; other columns are carried along.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from granary.llm import exact_dedup, near_dup, packing, quality, toxicity
 from granary.llm.batches import without
 from granary.session import materialize
 
+ROW = "_pipeline_row"
+
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, written, so that it stays the same in every reading."""
+    return materialize(spark, docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def _without(rows: DataFrame, gone: DataFrame, number: str = "doc_id") -> DataFrame:
+    return without(rows, gone.select(F.col(number).alias("doc_id")), ROW).drop(ROW)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that operator 6 predicts to be toxic go."""
-    return without(docs, toxicity.classify(docs, _labels(spark, sf_dir)).where("predicted = 1"))
+    return toxicity.drop_toxic(docs, toxicity.train(docs, _labels(spark, sf_dir)))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that operator 8 rejects go."""
-    return without(docs, quality.classify(docs, _labels(spark, sf_dir)).where("not kept"))
+    rows = _numbered(spark, docs)
+    return _without(rows, quality.classify(rows, _labels(spark, sf_dir), row_col=ROW).where("not kept"), "row")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the one that operator 5 keeps stays."""
-    return exact_dedup.drop_duplicates(docs)
+    rows = _numbered(spark, docs)
+    return _without(rows, exact_dedup.deduplicate(rows, id_col=ROW, order_col="doc_id").where("not kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of operator 2 stays."""
-    return without(docs, near_dup.near_duplicates(docs).where("not kept"))
+    rows = _numbered(spark, docs)
+    return _without(rows, near_dup.near_duplicates(rows, id_col=ROW).where("not kept"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
