@@ -9,8 +9,8 @@ from granary.operators import transfer as tr
 
 
 @pytest.mark.parametrize(("text", "want"), [("2^6", 7), ("20*08", 6), ("(1+2)*3", 6), ("-5", 9), ("-5+1", 5), ("2*-3", 6), ("7", 9)])
-def test_precedence(text, want):
-    assert ms.precedence(text) == want
+def test_precedence(spark, text, want):
+    assert spark.createDataFrame([(text,)], "s string").select(ms.precedence_of(F.col("s")).alias("p")).first().p == want
 
 
 @pytest.mark.parametrize(("spec", "want"), [("2", (2, 2)), ("1-3", (1, 3)), ("M1-2", (1, 2)), ("?", None), ("", None), (None, None)])
