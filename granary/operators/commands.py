@@ -166,6 +166,43 @@ def insert_values(df: DataFrame, rows: list[tuple], names: list[str]) -> DataFra
     return df.unionByName(new.select(*cols))
 
 
+def insert_record(df: DataFrame, at: int, values: Mapping[str, object] | None = None, before: bool = False) -> DataFrame:
+    """INSERT [BLANK] [BEFORE]: a record after (or before) record `at`; the records behind it move up by one."""
+    number = at if before else at + 1
+    given = values or {}
+    fixed = {RECNO: F.lit(number).cast("long"), DELETED: F.lit(False)}
+    cells = [(fixed[f.name] if f.name in fixed else F.lit(given[f.name]).cast(f.dataType) if f.name in given else empty_value(f.dataType)).alias(f.name) for f in df.schema]
+    moved = df.withColumn(RECNO, F.col(RECNO) + (F.col(RECNO) >= number).cast("long"))
+    return moved.unionByName(df.sparkSession.range(1).select(*cells))
+
+
+def append_blank(df: DataFrame) -> DataFrame:
+    """APPEND BLANK: a record of empty values at the end."""
+    return insert_record(df, df.agg(F.max(RECNO)).first()[0] or 0)
+
+
+def scan(df: DataFrame, body: Mapping[str, Column], mask: Column | None = None, until: Column | None = None) -> DataFrame:
+    """SCAN FOR mask WHILE until ... ENDSCAN with a body of assignments that see their own record: one pass over all.
+
+    WHILE ends the scan at the first record, of those that FOR shows, where it doesn't hold.
+    """
+    yes = F.lit(True) if mask is None else F.coalesce(mask, F.lit(False))
+    if until is not None:
+        stop = df.where(yes & ~F.coalesce(until, F.lit(False))).agg(F.min(RECNO).alias("_stop"))
+        df = df.crossJoin(F.broadcast(stop))  # one row
+        yes = yes & (F.col("_stop").isNull() | (F.col(RECNO) < F.col("_stop")))
+    return replace(df, body, yes).drop("_stop")
+
+
+def append_memo(df: DataFrame, field: str, path: str, mask: Column, overwrite: bool = False) -> DataFrame:
+    """APPEND MEMO field FROM path: the file's bytes behind (or instead of) those of the records that the mask names."""
+    content = df.sparkSession.read.format("binaryFile").load(path).agg(F.first("content").alias("_content"))  # one file
+    out = df.crossJoin(F.broadcast(content))
+    old = F.lit(b"") if overwrite else F.coalesce(F.col(field).cast("binary"), F.lit(b""))
+    new = F.concat(old, "_content")
+    return out.withColumn(field, F.when(F.coalesce(mask, F.lit(False)), new.cast(df.schema[field].dataType)).otherwise(F.col(field))).drop("_content")
+
+
 def append_from(df: DataFrame, other: DataFrame, mask: Column | None = None) -> DataFrame:
     """APPEND FROM: fields of the same name are taken, others are null."""
     return df.unionByName((other if mask is None else other.where(mask)).select(*[c for c in other.columns if c in df.columns]), allowMissingColumns=True)
@@ -205,6 +242,46 @@ def calculate(df: DataFrame, value: str, rate: float | None = None) -> DataFrame
     return df.agg(*out)
 
 
+def sum_to(df: DataFrame, *exprs: Column, mask: Column | None = None) -> DataFrame:
+    """SUM e1, e2 FOR mask TO v1, v2: one row, sums of nothing are 0."""
+    rows = df if mask is None else df.where(mask)
+    return rows.agg(*[F.coalesce(F.sum(e.cast("decimal(18,4)")), F.lit(0)).cast("double").alias(f"v{i}") for i, e in enumerate(exprs, 1)])
+
+
+def count_to(df: DataFrame, mask: Column | None = None) -> DataFrame:
+    """COUNT FOR mask TO v1."""
+    return (df if mask is None else df.where(mask)).agg(F.count(F.lit(1)).alias("v1"))
+
+
+def average_to(df: DataFrame, *exprs: Column, mask: Column | None = None) -> DataFrame:
+    """AVERAGE e1, e2 FOR mask TO v1, v2: one row, averages of nothing are 0."""
+    rows = df if mask is None else df.where(mask)
+    return rows.agg(*[F.coalesce(F.avg(e.cast("double")), F.lit(0.0)).alias(f"v{i}") for i, e in enumerate(exprs, 1)])
+
+
+def sort_to(df: DataFrame, path: str, *order: Column, names: list[str] | None = None) -> DataFrame:
+    """SORT TO path ON keys FIELDS names: the records in that order, numbered anew by it when read again."""
+    out = df.select(*names) if names else df
+    out.orderBy(*order).write.parquet(path)
+    return df.sparkSession.read.schema(out.schema).parquet(path)
+
+
+def join_with(df: DataFrame, other: DataFrame, on: Column, path: str, names: list[str] | None = None) -> DataFrame:
+    """JOIN WITH other TO path FOR on FIELDS names: the pairs, as a table of its own."""
+    out = df.join(other, on)
+    out = out.select(*names) if names else out
+    out.write.parquet(path)
+    return df.sparkSession.read.schema(out.schema).parquet(path)
+
+
+def lookup(df: DataFrame, value: Column, found: DataFrame, ret: str, key: str, *order: str, name: str = "looked_up") -> DataFrame:
+    """LOOKUP(ret, value, key): for each record of df the field of the first record found by key; empty without one."""
+    first = first_by(found.select(ret, key, *[o for o in order if o not in (ret, key)]), key, *(order or (ret,)))
+    side = first.select(F.col(key).alias("_key"), F.col(ret).alias(name), F.lit(True).alias("_hit"))
+    out = df.join(side, value == F.col("_key"), "left").drop("_key")
+    return out.withColumn(name, F.when(F.col("_hit"), F.col(name)).otherwise(empty_value(found.schema[ret].dataType))).drop("_hit")
+
+
 def total_on(df: DataFrame, key: str, sums: list[str]) -> DataFrame:
     """TOTAL ON key: one row for each run of CONSECUTIVE equal keys in record order, with the fields' sums."""
     runs = groups_of_runs(df, key, RECNO, "_run")
@@ -215,9 +292,11 @@ def total_on(df: DataFrame, key: str, sums: list[str]) -> DataFrame:
 
 
 def first_by(df: DataFrame, key: str, *order: str) -> DataFrame:
-    """The first record of each key."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """The first record of each key (null too), by partial aggregates, so that frequent keys don't meet in one task."""
+    rest = [c for c in df.columns if c != key]
+    ranks = F.struct(*[F.col(o).isNotNull().alias(f"_{i}n") if k == 0 else F.col(o).alias(f"_{i}") for i, o in enumerate(order) for k in (0, 1)])
+    first = df.groupBy(key).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest]), ranks).alias("_first"))
+    return first.select(key, *[F.col("_first")[c].alias(c) for c in rest]).select(*[f"`{c}`" for c in df.columns])
 
 
 def set_relation(parent: DataFrame, child: DataFrame, parent_key: str, child_key: str, *order: str) -> DataFrame:
@@ -235,5 +314,5 @@ def index_on(df: DataFrame, *exprs: Column, mask: Column | None = None, unique:
     out = df if mask is None else df.where(mask)
     if not unique:
         return out
-    w = Window.partitionBy(*exprs).orderBy(RECNO)
-    return out.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    row = F.struct(*[F.col(f"`{c}`") for c in out.columns])
+    return out.groupBy(*[e.alias(f"_key{i}") for i, e in enumerate(exprs)]).agg(F.min_by(row, RECNO).alias("_first")).select("_first.*")

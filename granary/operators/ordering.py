@@ -1,7 +1,8 @@
 """Global order without a single-task window.
 
-A total order over a large table is cut into buckets of key ranges. Bounds come from a bounded sample of keys, taken
-by hash, so they don't change when a task runs again. Positions, running sums and neighbours are computed by windows
+A total order over a large table is cut into buckets of key ranges, as many as there are shuffle partitions. Bounds come
+from a bounded sample of rows, read once, so a frequent key gets as many sampled rows as it has weight and the other
+buckets stay even. Positions, running sums and neighbours are computed by windows
 inside the buckets, and what crosses a bucket's edge is one row for each bucket, brought together on the driver.
 """
 
@@ -10,17 +11,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Keys sampled for the bounds.
-SAMPLE = 2048
+#: Rows sampled for the bounds, and the most buckets (each row is compared with every bound).
+SAMPLE, BUCKETS = 4096, 512
 RECNO = "_recno"
 
 
 def bucketed(df: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
     """df with `_bucket`: rises with `key`; null keys are in bucket 0, as they sort first."""
-    n = buckets or max(2, min(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    seen = df.select(F.col(key).alias("k")).where("k is not null").orderBy(F.xxhash64("k")).limit(SAMPLE).select("k")
-    keys = sorted({r.k for r in seen.collect()})
-    bounds = sorted({keys[len(keys) * i // n] for i in range(1, n)}) if len(keys) > 1 else []
+    n = buckets or max(2, min(BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    seen = df.select(F.col(key).alias("k")).where("k is not null").orderBy(F.rand(17)).limit(SAMPLE).select("k")
+    keys = sorted(r.k for r in seen.collect())
+    bounds = sorted({keys[len(keys) * i // n] for i in range(1, n)} - {keys[0]}) if keys else []
     bucket = F.lit(0)
     for b in bounds:
         bucket = bucket + F.coalesce((F.col(key) >= F.lit(b)).cast("int"), F.lit(0))

@@ -26,6 +26,8 @@ def axis_aggregate(df: DataFrame, axes: Mapping[str, Column], counters: Mapping[
     axes: name -> array<string> from axis_values(). A record counts once for each value carried, repeats included; one
     without values counts in `missing` of its axis only. A null counter counts as false, a null delta as (0, 0).
     `total` is the number of input records on every row, so denominators don't depend on the grouping.
+
+    Records are first summed by what they carry on all axes together, so only those sums are multiplied by the axes.
     """
     deltas = deltas or {}
     base = df.select(
@@ -34,32 +36,95 @@ def axis_aggregate(df: DataFrame, axes: Mapping[str, Column], counters: Mapping[
         *[F.when(a.isNull() | b.isNull(), F.lit(0)).otherwise(x).cast("decimal(18,4)").alias(f"{n}_{side}") for n, (a, b) in deltas.items() for side, x in (("num", a), ("den", b))],
     )
     measures = [*counters, *(f"{n}_{s}" for n in deltas for s in ("num", "den"))]
-    # a record without values on an axis goes along once under a null value
+    together = base.groupBy(*[f"_axis_{n}" for n in axes]).agg(F.count(F.lit(1)).alias("records"), *[F.sum(m).alias(m) for m in measures])
 
-    def tag(n: str) -> Column:
-        values = F.when(F.size(f"_axis_{n}") > 0, F.col(f"_axis_{n}")).otherwise(F.array(F.lit(None).cast("string")))
-        return F.transform(values, lambda v: F.struct(F.lit(n).alias("axis"), v.alias("value")))
+    def tags(n: str) -> Column:
+        """A tag for each value (kind 0), one for all records (1), and one for records without values (2)."""
+        tag = lambda kind, value: F.struct(F.lit(n).alias("axis"), F.lit(kind).alias("kind"), value.alias("value"))
+        none = F.lit(None).cast("string")
+        marks = F.when(F.size(f"_axis_{n}") == 0, F.array(tag(1, none), tag(2, none))).otherwise(F.array(tag(1, none)))
+        return F.concat(F.transform(f"_axis_{n}", lambda v: tag(0, v)), marks)
 
-    tagged = [tag(n) for n in axes]
-    grouped = base.select(F.explode(F.concat(*tagged)).alias("av"), *measures).groupBy("av.axis", "av.value").agg(F.count(F.lit(1)).alias("records"), *[F.sum(m).alias(m) for m in measures])
-    total = base.agg(F.count(F.lit(1)).alias("n")).first().n
-    missing = grouped.where("value is null").select(F.col("axis").alias("_axis"), F.col("records").alias("_missing"))  # a row for each axis at most
-    out = grouped.where("value is not null").join(missing, F.col("axis") == F.col("_axis"), "left")
-    return out.select("axis", "value", "records", *measures, F.coalesce("_missing", F.lit(0)).cast("long").alias("missing"), F.lit(total).cast("long").alias("total"))
+    tagged = together.select(F.explode(F.concat(*[tags(n) for n in axes])).alias("tag"), "records", *measures)
+    # the kind is an aggregate too, so that a filter on it stays above the aggregation and both arms below share that
+    grouped = tagged.groupBy("tag.axis", "tag.value", "tag.kind").agg(F.sum("records").alias("records"), *[F.sum(m).alias(m) for m in measures], F.max("tag.kind").alias("_kind")).drop("kind")
+    sums = grouped.where("_kind > 0").groupBy(F.col("axis").alias("_axis")).agg(F.sum(F.when(F.col("_kind") == 2, F.col("records")).otherwise(0)).alias("missing"), F.sum(F.when(F.col("_kind") == 1, F.col("records"))).alias("total"))
+    out = grouped.where("_kind = 0").join(F.broadcast(sums), F.col("axis") == F.col("_axis"))  # one row for each axis
+    return out.select("axis", "value", "records", *measures, "missing", "total")
 
 
 def blocker_ranking(df: DataFrame, record: str, blockers: str, repo: str) -> DataFrame:
     """For each blocker: records that carry it, alone and combined, its repositories and the one with most records.
 
-    blockers: array<string> column. Ties for the top repository go to the smaller name. Order: blocked desc, blocker.
+    blockers: array<string> column; repo: a string or an array<string> of all repositories that a record stands in. A
+    record counts once in `blocked` however many those are, and once for each of them in the repositories' counts. Ties
+    for the top repository go to the smaller name. Order: blocked desc, blocker.
     """
-    rows = df.select(record, F.array_distinct(blockers).alias("b"), F.col(repo).alias("repo")).select(record, "repo", F.explode("b").alias("blocker"), (F.size("b") == 1).alias("solo"))
-    by_repo = rows.groupBy("blocker", "repo").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("solo").cast("long")).alias("solo"))
-    best = F.min(F.when(F.col("repo").isNotNull(), F.struct((-F.col("n")).alias("order"), F.col("repo").alias("repo"), F.col("n").alias("n"))))
-    out = by_repo.groupBy("blocker").agg(F.sum("n").alias("blocked"), F.sum("solo").alias("solo"), F.count("repo").alias("repos"), best.alias("top"))
+    several = df.schema[repo].dataType.typeName() == "array"
+    repos = F.array_distinct(F.array_compact(F.col(repo) if several else F.array(F.col(repo))))
+    rows = df.select(F.array_distinct(blockers).alias("b"), F.coalesce(repos, F.array().cast("array<string>")).alias("repos"))
+    # a null stands for the record itself
+    rows = rows.select(F.explode("b").alias("blocker"), (F.size("b") == 1).cast("long").alias("solo"), F.concat(F.array(F.lit(None).cast("string")), "repos").alias("repos"))
+    by_repo = rows.select("blocker", "solo", F.explode("repos").alias("repo")).groupBy("blocker", "repo").agg(F.count(F.lit(1)).alias("n"), F.sum("solo").alias("solo"))
+    itself = F.col("repo").isNull()
+    best = F.min(F.when(~itself, F.struct((-F.col("n")).alias("order"), F.col("repo").alias("repo"), F.col("n").alias("n"))))
+    out = by_repo.groupBy("blocker").agg(F.sum(F.when(itself, F.col("n"))).alias("blocked"), F.sum(F.when(itself, F.col("solo"))).alias("solo"), F.count("repo").alias("repos"), best.alias("top"))
     return out.select("blocker", "blocked", "solo", (F.col("blocked") - F.col("solo")).alias("combo"), "repos", F.coalesce("top.repo", F.lit("?")).alias("top_repo"), F.coalesce("top.n", F.lit(0)).cast("long").alias("top_count")).orderBy(F.desc("blocked"), "blocker")
 
 
+def row_bucket(unit: Column, blockers: Column, fail: Column) -> Column:
+    """The bucket of a row of a run: a method by whether anything blocks it, a record by its failure."""
+    f = F.coalesce(fail, F.lit(""))
+    method = F.when(F.coalesce(F.size(blockers), F.lit(0)) > 0, "lift_unsupported").otherwise("lifted_vmfree")
+    record = F.when(f == "0 non-empty sections", "no_code_sections").when(f == "record not found", "record_not_found").when(f.startswith("unparsed"), "unparsed").otherwise("other_record_failure")
+    return F.when(unit == "method", method).otherwise(record)
+
+
+def pair_lookup(sample: DataFrame, rows: DataFrame, ids: str, fail: str = "fail") -> DataFrame:
+    """Each sampled id with its row (ids are unique in rows); one without a row stays, and says so in `fail`."""
+    found = rows.withColumn("_found", F.lit(True)) if fail in rows.columns else rows.withColumns({"_found": F.lit(True), fail: F.lit(None).cast("string")})
+    out = sample.select(ids).join(found, ids, "left")
+    return out.withColumn(fail, F.when(F.col("_found").isNull(), "record not found").otherwise(F.col(fail))).drop("_found")
+
+
+def counts_of(df: DataFrame, *names: str) -> DataFrame:
+    """field, value, n: how often each value of each field stands in all rows, in one pass; null is a value."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).cast("string").alias("value")) for n in names])
+    return df.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).select(F.explode(pairs).alias("p"), "n").groupBy("p.field", "p.value").agg(F.sum("n").alias("n"))
+
+
+def exclusion_summary(excluded: DataFrame, cluster: str, kind: str) -> DataFrame:
+    """field, value, n of the clusters and mismatch types of excluded pairs, with the number of pairs in `pairs`."""
+    c = counts_of(excluded, cluster, kind)
+    pairs = c.groupBy("field").agg(F.sum("n").alias("pairs"))  # two rows
+    return c.join(F.broadcast(pairs), "field")
+
+
+def coverage_summary(df: DataFrame, name: str, status: str, denominators: Mapping[str, int]) -> DataFrame:
+    """kind, fully, in_part, denominator, fully_pct, in_part_pct (in part: at all) of distinct names by kind: status is full or partial.
+
+    denominators: kind -> number, fixed; a kind without rows still has its row, and one without a denominator has none.
+    """
+    kinds = df.sparkSession.createDataFrame([(k, v) for k, v in denominators.items()], "kind string, denominator long")
+    best = df.groupBy("kind", name).agg(F.max((F.col(status) == "full").cast("long")).alias("full"))
+    counts = best.groupBy("kind").agg(F.sum("full").alias("fully"), F.count(F.lit(1)).alias("in_part"))
+    out = kinds.join(counts, "kind", "left").na.fill(0, ["fully", "in_part"])
+    return out.select("kind", "fully", "in_part", "denominator", rate(F.col("fully"), F.col("denominator")).alias("fully_pct"), rate(F.col("in_part"), F.col("denominator")).alias("in_part_pct"))
+
+
+def run_summary(df: DataFrame, canonical: Column, compiled: Column, fail: Column, stmts: Column, decoded: Column, macro: Column) -> DataFrame:
+    """Totals of a run in one row: sampled, compiled_clean, canonical_pass, statements decoded with and without verbatim ones.
+
+    All rows are the denominator; the strict rate takes verbatim (macro) statements out of both its sides. `buckets` maps
+    each outcome to its number of rows.
+    """
+    x = df.select(outcome_bucket(canonical, fail).alias("bucket"), F.coalesce(compiled, F.lit(False)).cast("long").alias("c"), *[F.coalesce(v, F.lit(0)).cast("long").alias(n) for n, v in (("s", stmts), ("d", decoded), ("m", macro))])
+    by = x.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *[F.sum(k).alias(k) for k in "csdm"])  # some ten kinds, and other failures
+    one = by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("sampled"), *[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in "csdm"], F.coalesce(F.sum(F.when(F.col("bucket") == "canonical_pass", F.col("n"))), F.lit(0)).alias("p"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("bucket", "n")))).alias("buckets"))
+    c = F.col
+    return one.select("sampled", c("c").alias("compiled_clean"), c("p").alias("canonical_pass"), rate(c("p"), c("sampled")).alias("canonical_pct"), c("s").alias("statements"), rate(c("d"), c("s")).alias("decoded_pct"), rate(c("d") - c("m"), c("s") - c("m")).alias("decoded_strict_pct"), c("m").alias("macro_verbatim"), "buckets")
+
+
 def blocker_pairs(df: DataFrame, blockers: str, top: int = 8) -> DataFrame:
     """The most frequent unordered pairs of blockers that stand in one record.
 
@@ -162,9 +227,13 @@ def drift(old: DataFrame, new: DataFrame, ids: str, n: int) -> DataFrame:
 
 
 def render(df: DataFrame, limit: int = 100) -> str:
-    """A small result as a Markdown table, for reports; at most `limit` rows come to the driver."""
-    rows = df.limit(limit).collect()
+    """A small result as a Markdown table, for reports; at most `limit` rows come to the driver, and a last line says if there are more."""
+    rows = df.limit(limit + 1).collect()
+    more = len(rows) > limit
+    rows = rows[:limit]
     head = [" | ".join(df.columns), " | ".join("---" for _ in df.columns)]
+    if more:
+        rows.append((f"... only the first {limit} rows are shown", *[None] * (len(df.columns) - 1)))
     return "\n".join(f"| {x} |" for x in [*head, *(" | ".join("" if v is None else str(v) for v in r) for r in rows)])
 
 

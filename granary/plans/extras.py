@@ -131,3 +131,39 @@ def updategram(spark, sf_dir):
     s = load(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
     kept = s.where("s_suppkey % 10 <> 0").withColumn("s_name", F.when(F.col("s_suppkey") % 10 == 1, "changed").otherwise(F.col("s_name")))
     return tr.updategram(s, kept.unionByName(s.where("s_suppkey % 10 = 2").withColumn("s_suppkey", F.col("s_suppkey") + 1000000)), "s_suppkey")
+
+
+_fails = {0: None, 1: "lift: no such thing", 2: "0 non-empty sections", 3: "record not found", 4: "unparsed: x"}
+_fail = "CASE doc_id % 5 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in _fails.items() if v) + " END"
+
+
+@C.add(f"""
+WITH r AS (SELECT doc_id % 5 = 0 AS canonical, {_fail} AS fail, n_chars AS s, n_chars - doc_id % 2 AS d, doc_id % 2 AS m FROM documents),
+     b AS (SELECT CASE WHEN canonical THEN 'canonical_pass' WHEN fail LIKE '0 non-empty%' THEN 'no_code_sections' WHEN fail LIKE 'lift%' THEN 'lift_unsupported' WHEN fail LIKE 'unparsed%' THEN 'unparsed' ELSE 'record_not_found' END AS bucket, count(*) AS n FROM r GROUP BY 1)
+SELECT count(*) AS sampled, count(*) FILTER (WHERE canonical) AS compiled_clean, count(*) FILTER (WHERE canonical) AS canonical_pass, 100.0::DOUBLE * count(*) FILTER (WHERE canonical) / count(*) AS canonical_pct, cast(sum(s) AS bigint) AS statements,
+ 100.0::DOUBLE * sum(d) / sum(s) AS decoded_pct, 100.0::DOUBLE * (sum(d) - sum(m)) / (sum(s) - sum(m)) AS decoded_strict_pct, cast(sum(m) AS bigint) AS macro_verbatim, (SELECT string_agg(bucket || '=' || n, ',' ORDER BY bucket) FROM b) AS buckets FROM r""")
+def run_summary(spark, sf_dir):
+    d = load(spark, sf_dir, "documents")
+    odd = F.col("doc_id") % 2
+    out = sc.run_summary(d, F.col("doc_id") % 5 == 0, F.col("doc_id") % 5 == 0, F.expr(_fail), F.col("n_chars"), F.col("n_chars") - odd, odd)
+    return out.withColumn("buckets", F.array_join(F.transform(F.map_entries("buckets"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ","))
+
+
+@C.add(f"SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'record_not_found' WHEN d.doc_id % 2 = 0 THEN CASE WHEN toxic = 1 THEN 'lift_unsupported' ELSE 'lifted_vmfree' END ELSE 'other_record_failure' END AS bucket FROM documents d LEFT JOIN labels l USING (doc_id)")
+def pair_lookup(spark, sf_dir):
+    """Documents as the sample, labels as the rows: what has no label stays, as a failure."""
+    found = sc.pair_lookup(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), "doc_id")
+    unit = F.when((F.col("doc_id") % 2 == 0) & F.col("fail").isNull(), "method").otherwise("record_failure")
+    blockers = F.when(F.col("toxic") == 1, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    return found.select("doc_id", sc.row_bucket(unit, blockers, F.col("fail")).alias("bucket"))
+
+
+@C.add("SELECT 'lang' AS field, lang AS value, count(*) AS n, (SELECT count(*) FROM documents) AS pairs FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*), (SELECT count(*) FROM documents) FROM documents GROUP BY source")
+def exclusion_summary(spark, sf_dir):
+    return sc.exclusion_summary(load(spark, sf_dir, "documents"), "lang", "source")
+
+
+@C.add("WITH b AS (SELECT lang AS kind, source, max((n_chars > 3000)::INT) AS f FROM documents WHERE lang IN ('en', 'de') GROUP BY 1, 2) SELECT k AS kind, cast(coalesce(sum(f), 0) AS bigint) AS fully, count(b.kind) AS in_part, 25::BIGINT AS denominator, 100.0::DOUBLE * coalesce(sum(f), 0) / 25 AS fully_pct, 100.0::DOUBLE * count(b.kind) / 25 AS in_part_pct FROM (VALUES ('en'), ('de'), ('xx')) v(k) LEFT JOIN b ON k = b.kind GROUP BY k")
+def coverage_summary(spark, sf_dir):
+    d = load(spark, sf_dir, "documents").select(F.col("lang").alias("kind"), "source", F.when(F.col("n_chars") > 3000, "full").otherwise("partial").alias("status"))
+    return sc.coverage_summary(d, "source", "status", {"en": 25, "de": 25, "xx": 25})

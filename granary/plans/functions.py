@@ -41,10 +41,10 @@ def fn_pad_words(spark, sf_dir):
     return load(spark, sf_dir, "part").select("p_partkey", st.padl(brand, 12, "*").alias("padl_"), st.padr(brand, 12, ".").alias("padr_"), st.padc(brand, 13).alias("padc_"), st.getwordcount(typ, " ").alias("words_"), st.getwordnum(typ, 2, " ").alias("word2_"), st.str_(F.col("p_retailprice"), 12, 2).alias("str_"), st.val(F.concat(F.col("p_size").cast("string"), F.lit(" cm"))).alias("val_"), st.strextract(F.concat(brand, F.lit("#end")), "#", "#").alias("extract_"), st.strconv(brand, 15).alias("conv_"))
 
 
-@C.add("SELECT doc_id, len(string_split(text, chr(10)))::INTEGER AS lines_, string_split(text, chr(10))[1] AS line1_, CASE WHEN contains(text, 'a') THEN list_position(list_transform(string_split(text, chr(10)), lambda x: contains(x, 'a')), true) ELSE 0 END::INTEGER AS atline_ FROM documents WHERE length(text) > 0")
+@C.add("SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) END::INTEGER AS lines_, coalesce(string_split(text, chr(10))[1], '') AS line1_, CASE WHEN text IS NULL THEN NULL WHEN contains(text, 'a') THEN list_position(list_transform(string_split(text, chr(10)), lambda x: contains(x, 'a')), true) ELSE 0 END::INTEGER AS atline_ FROM documents")
 def fn_lines(spark, sf_dir):
     t = F.col("text")
-    return load(spark, sf_dir, "documents").where("length(text) > 0").select("doc_id", st.memlines(t).alias("lines_"), st.mline(t, 1).alias("line1_"), st.atline("a", t).alias("atline_"))
+    return load(spark, sf_dir, "documents").select("doc_id", st.memlines(t).alias("lines_"), st.mline(t, 1).alias("line1_"), st.atline("a", t).alias("atline_"))
 
 
 @C.add(f"SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, abs(-l_linenumber) AS abs_, cast(ceil(l_extendedprice) AS bigint) AS ceiling_, cast(floor(l_extendedprice) AS bigint) AS floor_, cast(trunc(-l_extendedprice) AS bigint) AS int_, {_sdec('sqrt(l_linenumber)')} AS sqrt_, {_sdec('ln(l_linenumber)')} AS log_, {_sdec('log10(l_linenumber)')} AS log10_, {_sdec('exp(l_discount)')} AS exp_, {_sdec('sin(l_linenumber)')} AS sin_, {_sdec('atan2(l_linenumber, 2)')} AS atn2_, {_sdec('radians(l_linenumber)')} AS dtor_, sign(l_discount - 0.05)::DOUBLE AS sign_, greatest(l_linenumber, 3) AS max_, least(l_linenumber, 3) AS min_, cast(round(cast(l_extendedprice AS decimal(28,10)), 1) AS double) AS round_, (CASE WHEN l_linenumber % 3 = 0 THEN 0 ELSE l_linenumber % 3 - 3 END)::BIGINT AS mod_ FROM lineitem")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from granary.operators import commands as cmd
 from granary.operators.ordering import RECNO
 from granary.plans.base import Catalogue, load
+from granary.session import shared_dir
 
 C = Catalogue()
 
@@ -162,20 +163,20 @@ def calculate_all(spark, sf_dir):
 C.sql["calculate_all"] = "SELECT cast(round(cast(avg AS decimal(28,10)), 6) AS double) AS avg, cnt, max, min, sum, cast(round(cast(std AS decimal(28,10)), 6) AS double) AS std, cast(round(cast(var AS decimal(28,10)), 6) AS double) AS var FROM (" + C.sql["calculate_all"] + ")"
 
 
-@C.add(f"SELECT cast(round(cast(sum(o_totalprice / power(1.01, _recno)) AS decimal(28,10)), 2) AS double) AS npv FROM {O} WHERE _recno <= 100")
+@C.add(f"SELECT cast(round(cast(sum(o_totalprice / power(1.01, _recno)) AS decimal(28,10)), 2) AS double) AS npv FROM {O}")
 def calculate_npv(spark, sf_dir):
-    out = cmd.calculate(cmd.scope_next(orders(spark, sf_dir), 100), "o_totalprice", rate=0.01)
+    out = cmd.calculate(orders(spark, sf_dir), "o_totalprice", rate=0.01)
     return out.select(F.round(F.col("npv").cast("decimal(28,10)"), 2).cast("double").alias("npv"))
 
 
 @C.add("SELECT cast(sum(cast(o_totalprice AS decimal(18,4))) AS double) AS total FROM orders WHERE o_orderstatus = 'P'")
 def sum_for(spark, sf_dir):
-    return load(spark, sf_dir, "orders").where("o_orderstatus = 'P'").agg(F.sum(F.col("o_totalprice").cast("decimal(18,4)")).cast("double").alias("total"))
+    return cmd.sum_to(load(spark, sf_dir, "orders"), F.col("o_totalprice"), mask=F.col("o_orderstatus") == "P").select(F.col("v1").alias("total"))
 
 
 @C.add("SELECT count(*) FILTER (WHERE o_orderstatus = 'P') AS n FROM orders")
 def count_for(spark, sf_dir):
-    return load(spark, sf_dir, "orders").agg(F.count_if(F.col("o_orderstatus") == "P").alias("n"))
+    return cmd.count_to(load(spark, sf_dir, "orders"), F.col("o_orderstatus") == "P").select(F.col("v1").alias("n"))
 
 
 @C.add()
@@ -196,7 +197,7 @@ def total_on(spark, sf_dir):
 
 @C.add("SELECT p_partkey, p_brand, p_size FROM part")
 def sort_fields(spark, sf_dir):
-    return load(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size").orderBy("p_brand", F.desc("p_size"), "p_partkey")
+    return cmd.sort_to(load(spark, sf_dir, "part"), shared_dir(spark, "sorted"), F.col("p_brand"), F.desc("p_size"), F.col("p_partkey"), names=["p_partkey", "p_brand", "p_size"])
 
 
 @C.add(f"SELECT _recno, o_custkey FROM {O} QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY _recno) = 1")
@@ -224,4 +225,26 @@ def relation_one_to_many(spark, sf_dir):
 @C.add("SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey AND s_acctbal > 100 * n_regionkey")
 def join_with(spark, sf_dir):
     s, n = load(spark, sf_dir, "supplier"), load(spark, sf_dir, "nation")
-    return s.join(n, (s.s_nationkey == n.n_nationkey) & (s.s_acctbal > 100 * n.n_regionkey)).select("s_suppkey", "n_name")
+    return cmd.join_with(s, n, (s.s_nationkey == n.n_nationkey) & (s.s_acctbal > 100 * n.n_regionkey), shared_dir(spark, "joined"), ["s_suppkey", "n_name"])
+
+
+@C.add("SELECT c_custkey, coalesce(o_totalprice, 0) AS looked_up FROM customer LEFT JOIN (SELECT o_custkey, arg_min(o_totalprice, o_orderkey) AS o_totalprice FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) ON c_custkey = o_custkey")
+def lookup_first(spark, sf_dir):
+    found = load(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
+    return cmd.lookup(load(spark, sf_dir, "customer").select("c_custkey"), F.col("c_custkey"), found, "o_totalprice", "o_custkey", "o_orderkey")
+
+
+@C.add(f"SELECT CASE WHEN _recno > 10 THEN _recno + 1 ELSE _recno END AS _recno, o_orderkey FROM {O} UNION ALL SELECT 11, 0")
+def insert_blank(spark, sf_dir):
+    return cmd.insert_record(orders(spark, sf_dir), 10).select(RECNO, "o_orderkey")
+
+
+@C.add(f"SELECT _recno, o_orderkey FROM {O} UNION ALL SELECT count(*) + 1, 0 FROM orders")
+def append_blank(spark, sf_dir):
+    return cmd.append_blank(orders(spark, sf_dir)).select(RECNO, "o_orderkey")
+
+
+@C.add(f"SELECT _recno, CASE WHEN o_orderstatus = 'F' AND _recno < coalesce((SELECT min(_recno) FROM {O} WHERE o_orderstatus = 'F' AND NOT o_totalprice < 400000), 1000000000) THEN 0 ELSE o_custkey END AS o_custkey FROM {O}")
+def scan_while(spark, sf_dir):
+    t = orders(spark, sf_dir)
+    return cmd.scan(t, {"o_custkey": F.lit(0)}, F.col("o_orderstatus") == "F", F.col("o_totalprice") < 400000).select(RECNO, "o_custkey")

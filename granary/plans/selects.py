@@ -27,13 +27,16 @@ q("some_quantifier_equal", "SELECT s_suppkey FROM supplier WHERE s_nationkey = S
 q("all_quantifier_unequal", "SELECT s_suppkey FROM supplier WHERE s_nationkey # ALL (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)", "SELECT s_suppkey FROM supplier WHERE s_nationkey <> ALL (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
 q("like_in_predicates", "SELECT p_partkey, p_name FROM part WHERE p_type LIKE '%A%' AND p_size IN (1, 5, 9) AND NOT p_brand == 'Brand#11'", "SELECT p_partkey, p_name FROM part WHERE p_type LIKE '%A%' AND p_size IN (1, 5, 9) AND NOT p_brand = 'Brand#11'")
 q("contains_operator", "SELECT n_name FROM nation WHERE 'A' $ n_name .AND. .NOT. n_regionkey # 1", "SELECT n_name FROM nation WHERE contains(n_name, 'A') AND NOT n_regionkey <> 1")
-q("arithmetic", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity * 2 + 1 AS twice, -l_linenumber AS neg, l_linenumber % 3 AS rest, power(l_linenumber, 2) AS squared FROM lineitem WHERE l_orderkey <= 200")
+q("arithmetic", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity * 2 + 1 AS twice, -l_linenumber AS neg, l_linenumber % 3 AS rest, l_linenumber ^ 2 AS squared, 2 ** l_linenumber ^ 2 AS raised, l_returnflag + '-' + l_linestatus AS joined FROM lineitem", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity * 2 + 1 AS twice, -l_linenumber AS neg, l_linenumber % 3 AS rest, power(l_linenumber, 2) AS squared, power(power(2, l_linenumber), 2) AS raised, l_returnflag || '-' || l_linestatus AS joined FROM lineitem")
 q("group_having", "SELECT l_returnflag, l_linestatus, count(*) AS n, cast(sum(cast(l_extendedprice AS decimal(18,2))) AS double) AS total FROM lineitem GROUP BY l_returnflag, l_linestatus HAVING count(*) > 100")
 q("group_ordinal", "SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2")
 q("agg_distinct", "SELECT l_returnflag, count(DISTINCT l_suppkey) AS suppliers, cast(sum(DISTINCT l_linenumber) AS bigint) AS lines FROM lineitem GROUP BY l_returnflag")
 q("count_star", "SELECT count(*) AS n, min(l_shipdate) AS first_ship, max(l_shipdate) AS last_ship, cast(round(avg(cast(l_quantity AS decimal(18,2))), 6) AS double) AS avg_qty FROM lineitem", "SELECT count(*) AS n, min(l_shipdate) AS first_ship, max(l_shipdate) AS last_ship, cast(round(cast(avg(l_quantity) AS decimal(28,10)), 6) AS double) AS avg_qty FROM lineitem")
 q("agg_expression", "SELECT o_orderstatus, max(o_totalprice) - min(o_totalprice) AS span FROM orders GROUP BY o_orderstatus HAVING max(o_totalprice) > 2 * min(o_totalprice)")
 q("top_n", "SELECT TOP 10 o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
+q("top_in_union_arm", "SELECT TOP 3 1 AS k FROM orders UNION ALL SELECT n_nationkey FROM nation ORDER BY 1", "(SELECT 1 AS k FROM orders LIMIT 3) UNION ALL SELECT n_nationkey FROM nation")
+q("top_percent", "SELECT TOP 10 PERCENT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey", "SELECT o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) <= ceil(count(*) OVER () * 0.1)")
+q("bracket_strings", "SELECT n_nationkey, [is ] + n_name AS said FROM nation WHERE NOT n_name = [BRAZIL]", "SELECT n_nationkey, 'is ' || n_name AS said FROM nation WHERE n_name <> 'BRAZIL'")
 q("order_desc", "SELECT n_name, n_regionkey FROM nation ORDER BY 2 DESC, n_name")
 q("distinct_rows", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
 q("union_all", "SELECT c_nationkey AS nationkey, c_acctbal AS bal FROM customer WHERE c_acctbal < 0 UNION ALL SELECT s_nationkey, s_acctbal FROM supplier WHERE s_acctbal < 0")

@@ -11,11 +11,13 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.functions.codepages import decode
+from granary.functions.codepages import MARKS, decode
 
 #: Which memo file goes with which table.
 MEMO_OF = {"scx": "sct", "vcx": "vct", "frx": "frt", "mnx": "mnt", "dbf": "fpt", "lbx": "lbt", "pjx": "pjt"}
@@ -41,18 +43,20 @@ class Header:
     fields: tuple[Field, ...]
 
 
+HEAD = struct.Struct("<4xIHH")  # records, size of the header, size of a record
+
+
 def header_fault(blob: bytes) -> str | None:
-    """Why a file isn't a table: too short, a header that doesn't fit, empty records, or more records than bytes."""
-    if len(blob) < 32:
-        return f"{len(blob)} bytes are fewer than a header has"
-    records, size, record = struct.unpack_from("<IHH", blob, 4)
-    if not 32 <= size <= len(blob):
-        return f"a header of {size} bytes in a file of {len(blob)}"
-    if not record:
-        return "records of no length"
-    if size + records * record > len(blob):
-        return f"{records} records of {record} bytes don't fit into {len(blob) - size}"
-    return None
+    """Why a file isn't a table, or None: what its header says must fit into its bytes."""
+    have = len(blob)
+    records, size, record = HEAD.unpack_from(blob) if have >= 32 else (0, 0, 0)
+    faults = {
+        f"{have} bytes are fewer than a header has": have < 32,
+        f"a header of {size} bytes in a file of {have}": size < 32 or size > have,
+        "records of no length": record == 0,
+        f"{records} records of {record} bytes don't fit into {have - size}": records * record > have - size,
+    }
+    return next((text for text, holds in faults.items() if holds), None)
 
 
 def read_header(blob: bytes) -> Header:
@@ -131,12 +135,20 @@ def read_tables(spark: SparkSession, *paths: str, mode: str = "FAILFAST") -> Dat
     return table_files(spark, *paths).mapInArrow(run, "path string, _recno long, _deleted boolean, values map<string,binary>, code_page_mark int, fault string")
 
 
-def typed(df: DataFrame, fields: list[Field], mark: int | None = 3) -> DataFrame:
-    """Columns for fields: text by code page without trailing blanks, numbers (blank: null), logicals (blank: null), memos as bytes."""
+def typed(df: DataFrame, fields: list[Field], mark: int | None = None) -> DataFrame:
+    """Columns for fields: text by code page without trailing blanks, numbers (blank: null), logicals (blank: null), memos as bytes.
+
+    Text is read by its file's own code page mark, unless `mark` names another.
+    """
 
     @F.pandas_udf("string")
-    def text(raw):
-        return raw.map(lambda b: None if b is None else decode(bytes(b), mark).rstrip(" "))
+    def by_mark(raw: pd.Series, mark: pd.Series) -> pd.Series:
+        pairs = list(zip(raw, mark, strict=True))
+        known = {p: decode(bytes(p[0]), p[1]).rstrip(" ") for p in {(b if b is None else bytes(b), m) for b, m in pairs} if p[0] is not None}
+        return pd.Series([None if b is None else known[bytes(b), m] for b, m in pairs], dtype=object)
+
+    def text(raw: Column) -> Column:
+        return by_mark(raw, F.col("code_page_mark") if mark is None else F.lit(mark))
 
     cols = []
     for f in fields:
@@ -181,17 +193,20 @@ def project_split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 # writing
 
 
-def encode_value(f: Field, value) -> bytes:
-    """One field's bytes: logicals T/F, numbers right-justified (blank for null), other text left-justified."""
-    if f.kind == "L":
-        raw = b" " if value is None else b"T" if value else b"F"
-    elif f.kind == "N":
-        raw = b"" if value is None or value == "" else str(value).encode("ascii").rjust(f.length)
-    elif f.kind == "I":
-        raw = struct.pack("<i", value or 0)
-    else:
-        raw = value if isinstance(value, bytes) else str("" if value is None else value).encode("latin-1", "replace")
-    return raw[: f.length].ljust(f.length)
+def encoded(value, mark: int) -> bytes:
+    """Text in a code page's bytes (bytes as they are); a character that it lacks is refused."""
+    return value if isinstance(value, bytes) else str(value).encode(MARKS.get(mark) or "latin-1")
+
+
+def encode_value(f: Field, value, mark: int = 3) -> bytes:
+    """One field's bytes, refused where they don't fit: a number to the right, other values to the left, none as blanks."""
+    if f.kind == "I":
+        return struct.pack("<i", value or 0)
+    kinds = {"L": lambda: b"T" if value else b"F", "N": lambda: str(value).encode("ascii").rjust(f.length)}
+    raw = b"" if value is None or value == "" else kinds.get(f.kind, lambda: encoded(value, mark))()
+    if len(raw) > f.length:
+        raise ValueError(f"{value!r} takes {len(raw)} bytes, field {f.name} has {f.length}")
+    return raw.ljust(f.length)
 
 
 def table_bytes(fields: list[Field], rows: list[tuple[bool, dict]], mark: int = 3, block: int = 64) -> tuple[bytes, bytes | None]:
@@ -205,13 +220,13 @@ def table_bytes(fields: list[Field], rows: list[tuple[bool, dict]], mark: int =
             if f.kind == "M":
                 at = 0
                 if value:
-                    payload = value if isinstance(value, bytes) else str(value).encode("latin-1", "replace")
+                    payload = encoded(value, mark)
                     at = len(memo) // block
                     memo += struct.pack(">II", 1, len(payload)) + payload
                     memo += bytes(-len(memo) % block)
                 rec.append(struct.pack("<I", at).ljust(f.length, b"\0"))
             else:
-                rec.append(encode_value(f, value))
+                rec.append(encode_value(f, value, mark))
         body.append(b"".join(rec))
     if memo is not None:
         struct.pack_into(">I", memo, 0, len(memo) // block)
@@ -222,6 +237,82 @@ def table_bytes(fields: list[Field], rows: list[tuple[bool, dict]], mark: int =
     return head + slots + b"\x0d" + b"".join(body) + b"\x1a", None if memo is None else bytes(memo)
 
 
+class TableImage:
+    """A table file and its memo file in memory, with edits that keep every byte they don't mean.
+
+    Memo blocks are only ever added at the next free place; old ones stay, so other records that point to them do too.
+    """
+
+    def __init__(self, body: bytes, memo: bytes | None = None):
+        self.header = read_header(body)
+        self.body, self.memo = bytearray(body), None if memo is None else bytearray(memo)
+        ends = np.cumsum([1, *[f.length for f in self.header.fields]]).tolist()
+        self.places = {f.name: (f, at) for f, at in zip(self.header.fields, ends, strict=False)}
+
+    def record(self, n: int) -> int:
+        """Where record n (from 1) stands."""
+        if not 1 <= n <= self.header.records:
+            raise IndexError(f"record {n} of {self.header.records}")
+        return self.header.size + (n - 1) * self.header.record
+
+    def _block(self) -> int:
+        return struct.unpack_from(">H", self.memo, 6)[0] or 512
+
+    def pointer(self, n: int, name: str) -> int:
+        return struct.unpack_from("<I", self.body, self.record(n) + self.places[name][1])[0]
+
+    def append_memo(self, payload: bytes, kind: int = 1, block: int = 64) -> int:
+        """The number of the new block that holds the payload."""
+        if self.memo is None:
+            self.memo = bytearray(struct.pack(">IHH", 1, 0, block).ljust(block, b"\0"))
+        size = self._block()
+        free = struct.unpack_from(">I", self.memo)[0] or 1
+        entry = struct.pack(">II", kind, len(payload)) + payload
+        blocks = -(-len(entry) // size)
+        self.memo = self.memo.ljust(free * size, b"\0")
+        self.memo[free * size : (free + blocks) * size] = entry.ljust(blocks * size, b"\0")
+        struct.pack_into(">I", self.memo, 0, free + blocks)
+        return free
+
+    def set_field(self, n: int, name: str, value) -> None:
+        """An empty memo is pointer 0; any other gets a new block."""
+        f, at = self.places[name]
+        at += self.record(n)
+        if f.kind == "M":
+            raw = struct.pack("<I", self.append_memo(encoded(value, self.header.mark)) if value else 0).ljust(f.length, b"\0")
+        else:
+            raw = encode_value(f, value, self.header.mark)
+        self.body[at : at + f.length] = raw
+
+    def append_clone(self, n: int, values: dict | None = None) -> int:
+        """A copy of record n at the end, with memos in blocks of its own and other values for some fields; its number."""
+        h, at = self.header, self.record(n)
+        copy = bytes(self.body[at : at + h.record])
+        end = h.size + h.records * h.record
+        self.body[end:end] = copy
+        self.header = Header(h.records + 1, h.size, h.record, h.mark, h.fields)
+        struct.pack_into("<I", self.body, 4, h.records + 1)
+        given = values or {}
+        for f in h.fields:
+            if f.kind == "M" and f.name not in given:
+                given = {**given, f.name: memo_payload(self.memo and bytes(self.memo), self.pointer(n, f.name))}
+        for name, value in given.items():
+            self.set_field(h.records + 1, name, value)
+        return h.records + 1
+
+    def overwrite_memo(self, n: int, name: str, payload: bytes) -> bool:
+        """Write over a memo's bytes in place, only if the payload is as long; whether it was."""
+        block = self.pointer(n, name)
+        if not block or len(memo_payload(bytes(self.memo or b""), block)) != len(payload):
+            return False
+        at = block * self._block() + 8
+        self.memo[at : at + len(payload)] = payload
+        return True
+
+    def files(self) -> tuple[bytes, bytes | None]:
+        return bytes(self.body), None if self.memo is None else bytes(self.memo)
+
+
 def guard(path: str, protected: str | None) -> None:
     """Refuse destinations under a protected root."""
     if protected and f"{path.rstrip('/')}/".startswith(f"{protected.rstrip('/')}/"):

@@ -7,7 +7,7 @@ from granary.operators import cache, dialect, ordering
 from granary.operators import commands as cmd
 from granary.operators import scorecard as sc
 from granary.operators import sequence as sq
-from granary.operators.workarea import WorkAreas
+from granary.operators.workarea import STATE, WorkAreas
 
 
 def test_axis_aggregate_counts_missing_and_repeats(spark):
@@ -180,3 +180,76 @@ def test_cache(spark):
 def test_payload_kinds(spark, content, name, want):
     df = spark.createDataFrame([(bytearray(content), name)], "c binary, n string")
     assert df.select(sq.payload_kind(F.col("c"), F.col("n")).alias("k")).first().k == want
+
+
+def test_areas_tell_their_state(spark):
+    w = WorkAreas(spark)
+    w.use(spark.createDataFrame([(1, "ab"), (2, "abc"), (3, "b")], "k int, s string"), "state_area", "k")
+    says = lambda name, *args: STATE[name](w, *args)
+    assert (says("RECNO"), says("RECCOUNT"), says("FCOUNT"), says("FIELD", 2), says("FIELD", 3), says("ALIAS"), says("USED", "x")) == (1, 3, 2, "S", "", "STATE_AREA", False)
+    assert says("SEEK", "s", "b") and says("FOUND") and says("RECNO") == 3 and not says("EOF")
+    assert not w.skip() and says("EOF") and says("RECNO") == 4
+    assert w.go("top") and not says("EOF") and not w.skip(-1) and says("BOF") and says("RECNO") == 1
+    assert says("LOOKUP", "s", 2, "k") == "abc" and says("RECNO") == 2
+    assert says("LOOKUP", "s", 9, "k") == "" and says("EOF")
+    assert says("INDEXSEEK", "k", 1) and says("RECNO") == 4
+    w.index_on("byS", F.col("s"))
+    assert (says("ORDER"), says("TAG", 1), says("TAGCOUNT"), says("SET", "deleted")) == ("BYS", "BYS", 1, False)
+
+
+def test_ranking_counts_a_record_of_two_repositories_once(spark):
+    df = spark.createDataFrame([(1, ["x"], ["r", "s"]), (2, ["x", "y"], ["s"]), (3, ["x"], None)], "id int, b array<string>, repo array<string>")
+    got = [tuple(r) for r in sc.blocker_ranking(df, "id", "b", "repo").collect()]
+    assert got == [("x", 3, 2, 1, 2, "s", 2), ("y", 1, 0, 1, 1, "s", 1)]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("SELECT 2 ^ 3 AS x", [8.0]),
+        ("SELECT 2 ^ 3 ^ 2 AS x", [64.0]),
+        ("SELECT 2 ** (1 + 1) * 3 AS x", [12.0]),
+        ("SELECT -2 ^ 2 AS x", [-4.0]),
+        ("SELECT 2 ^ -1 AS x", [0.5]),
+        ("SELECT 'a' + 'b' + \"c\" AS x", ["abc"]),
+        ("SELECT 'a ' - 'b' AS x", ["ab "]),
+        ("SELECT [it's] AS x", ["it's"]),
+        ("SELECT 1 + 2 AS x", [3]),
+        ("SELECT 5 - 2 AS x", [3]),
+        ("SELECT array(1, 2)[1] AS x", [2]),
+        ("SELECT TOP 1 1 AS x UNION ALL SELECT 2 UNION ALL SELECT 3 ORDER BY 1 DESC", [3, 2, 1]),
+        ("SELECT TOP 50 PERCENT x FROM (VALUES (1), (2), (3)) t(x) ORDER BY x", [1, 2]),
+        ("SELECT x FROM (VALUES (1), (2), (null)) t(x) WHERE x NOT IN (SELECT 2)", [1]),
+        ("SELECT x FROM (VALUES (1), (2)) t(x) WHERE x NOT IN (SELECT y FROM (VALUES (2), (null)) u(y))", []),
+        ("SELECT x FROM (VALUES (1), (null)) t(x) WHERE x NOT IN (SELECT y FROM (VALUES (1)) u(y) WHERE y > 1) ORDER BY x", [None, 1]),
+    ],
+)
+def test_dialect(spark, text, want):
+    from granary.operators.dialect import select
+
+    assert [r.x for r in select(spark, text).collect()] == want
+
+
+def test_not_in_broadcasts_nothing_that_grows(spark):
+    from granary.operators.dialect import translate
+
+    spark.range(100).createOrReplaceTempView("big_")
+    plan = spark.sql(translate("SELECT id FROM big_ WHERE id NOT IN (SELECT id FROM big_ WHERE id > 3)").sql)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "isnull" not in plan.split("LeftAnti")[1].split("\n")[0]
+
+
+def test_scorecard_reads_its_input_once(spark, sf_dir):
+    from granary.plans.scorecards import axis_scorecard
+
+    plan = axis_scorecard(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ReusedExchange") == 1 or plan.count("lineitem") <= 2
+
+
+def test_first_of_each_key_with_nulls(spark):
+    df = spark.createDataFrame([(1, None, "b"), (1, 5, "a"), (None, 2, "c"), (None, 1, "d"), (2, 3, "e")], "k int, o int, v string")
+    assert {(r.k, r.v) for r in cmd.first_by(df, "k", "o").collect()} == {(1, "b"), (None, "d"), (2, "e")}
+
+
+def test_rendering_says_what_it_leaves_out(spark):
+    text = sc.render(spark.range(5), 3)
+    assert text.count("\n") == 5 and "first 3 rows" in text

@@ -105,3 +105,40 @@ def test_container_in_an_executable():
     c = modules.read_container(bytes(pe) + inner)
     assert c.base == 0x200 and c.entries[0][1] == "a.txt"
     assert (bytes(pe) + inner)[c.entries[0][3] : c.entries[0][4]] == b"hello"
+
+
+def test_values_that_do_not_fit_are_refused():
+    n, c = tables.Field("N", "N", 4), tables.Field("C", "C", 6)
+    assert tables.encode_value(n, 1234) == b"1234" and tables.encode_value(c, "aŁ", 0xC8) == b"a\xa3    "
+    for f, value, mark in ((n, 123456, 3), (c, "too long", 3), (c, "中", 3)):
+        with pytest.raises(ValueError):
+            tables.encode_value(f, value, mark)
+
+
+def test_text_is_read_by_the_files_own_mark(spark, tmp_path):
+    fields = [tables.Field("C", "C", 8)]
+    for name, mark, text in (("a", 0x7A, "中文"), ("b", 3, "é€"), ("c", 1, "é")):
+        (tmp_path / f"{name}.dbf").write_bytes(tables.table_bytes(fields, [(False, {"C": text})], mark)[0])
+    got = tables.typed(tables.read_tables(spark, str(tmp_path)), fields)
+    assert sorted(r.C for r in got.collect()) == sorted(["中文", "é€", "é"])
+
+
+def test_edits_keep_other_bytes():
+    body, memo = tables.table_bytes(FIELDS, ROWS)
+    t = tables.TableImage(body, memo)
+    t.set_field(2, "NOTE", b"new")
+    t.set_field(1, "QTY", 7)
+    n = t.append_clone(1, {"NAME": "copy"})
+    rows = [r for *_, r in tables.records(*t.files())]
+    assert n == 3 and rows[2]["NAME"] == b"copy    " and rows[2]["NOTE"] == b"x" * 100 and rows[1]["NOTE"] == b"new" and rows[0]["QTY"] == b"    7"
+    assert t.pointer(3, "NOTE") != t.pointer(1, "NOTE")
+    assert t.overwrite_memo(1, "NOTE", b"y" * 100) and not t.overwrite_memo(1, "NOTE", b"short")
+    rows = [r for *_, r in tables.records(*t.files())]
+    assert rows[0]["NOTE"] == b"y" * 100 and rows[2]["NOTE"] == b"x" * 100
+    t.set_field(1, "NOTE", None)
+    assert t.pointer(1, "NOTE") == 0 and bytes(t.files()[1][: len(memo)])[8:] == memo[8:].replace(b"x" * 100, b"y" * 100)
+    first = tables.TableImage(tables.table_bytes([tables.Field("M", "M", 4)], [(False, {})])[0])
+    first.set_field(1, "M", b"made")
+    assert next(r for *_, r in tables.records(*first.files()))["M"] == b"made"
+    with pytest.raises(IndexError):
+        t.set_field(9, "QTY", 1)
