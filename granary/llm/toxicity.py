@@ -25,7 +25,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,10 +35,13 @@ from pyspark.sql import functions as F
 
 from granary.llm.batches import map_texts, slices
 from granary.llm.byte_bpe import Pieces
+from granary.session import materialize
 
 DECAY, REACH = 0.7, 6
 SPACE = 1 << 16
 LANDMARKS = 128
+#: Training takes so many units of each kind (see `_machine`).
+UNITS = 4000
 #: A unit is taken for toxic if two of its strings lean so far: as a share of the furthest lean for strings that are
 #: there at all; or, if lower, as log odds for strings that are there often, whatever strings of other languages do.
 #: Units with such a string that more than COMMON of the clean texts hold give nothing away by being there.
@@ -146,15 +149,21 @@ def kernel(units: list[str], landmarks: list[str], part: int = 1000) -> np.ndarr
     return out
 
 
-def squared_hinge(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4, rounds: int = 30) -> np.ndarray:
-    """Weights (the last one the offset) of a linear machine, by Newton steps."""
-    x = np.hstack([z, np.ones((len(z), 1))])
-    w = np.zeros(x.shape[1])
+def squared_hinge(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4, rounds: int = 30, part: int = 2000) -> np.ndarray:
+    """Weights (the last one the offset) of a linear machine, by Newton steps; rows are taken in parts, to hold little at once."""
+    n, k = z.shape
+    w = np.zeros(k + 1)
     for _ in range(rounds):
-        inside = 1 - y * (x @ w) > 0
-        a, t = x[inside], weight[inside]
-        h = (a * t[:, None]).T @ a / len(x) + ridge * np.eye(x.shape[1])
-        new = np.linalg.solve(h, (a * t[:, None]).T @ y[inside] / len(x))
+        h, g = ridge * np.eye(k + 1), np.zeros(k + 1)
+        for lo in range(0, n, part):
+            at = slice(lo, lo + part)
+            x = np.c_[z[at].astype(np.float64), np.ones(len(z[at]))]
+            inside = 1 - y[at] * (x @ w) > 0
+            x = x[inside]
+            heavy = x * (weight[at][inside, None] / n)
+            h += heavy.T @ x
+            g += heavy.T @ y[at][inside]
+        new = np.linalg.solve(h, g)
         if np.abs(new - w).max() < 1e-6:
             return new
         w = new
@@ -224,7 +233,7 @@ def _often(units: Counter) -> set[str]:
     return {g for g, n in held.items() if n >= least}
 
 
-def _suspicion(texts: list[set[str]], toxic: list[bool]) -> dict[str, float]:
+def _suspicion(texts: Iterable[set[str]], toxic: list[bool]) -> dict[str, float]:
     """How far each string, of the sets of strings of texts, leans to toxic texts: its log odds less 1.5 standard errors."""
     pos, neg = Counter(), Counter()
     for strings, y in zip(texts, toxic, strict=True):
@@ -242,8 +251,12 @@ def _least(lean: dict[str, float], shared: bool) -> float:
     return min(LEAST, least) if shared else least
 
 
-def _machine(texts: list[Counter], toxic: list[bool], lean: dict[str, float], shared: bool) -> Machine | None:
-    """A machine from the units whose strings lean, against units of clean texts; `shared`: leaning units may be in clean texts too."""
+def _machine(texts: list[Counter], toxic: list[bool], lean: dict[str, float], shared: bool, units: int = UNITS) -> Machine | None:
+    """A machine from the units whose strings lean, against units of clean texts; `shared`: leaning units may be in clean texts too.
+
+    `units` bounds what it is fitted on: so many units of toxic texts, and of clean ones so many that are most like them,
+    so many of the most frequent, and three times as many others by a hash of theirs.
+    """
 
     def leaning(u: str) -> float:
         """The second furthest lean of a unit's strings: one string may be there by chance."""
@@ -253,7 +266,7 @@ def _machine(texts: list[Counter], toxic: list[bool], lean: dict[str, float], sh
     clean = Counter(u for t, y in zip(texts, toxic, strict=True) if not y for u in t)
     counts = Counter(u for t, y in zip(texts, toxic, strict=True) if y for u in t if shared or u not in clean)
     found = {u: n for u, n in counts.items() if leaning(u) >= least > 0}
-    positives = sorted(found, key=lambda u: (-found[u], u))[:4000]
+    positives = sorted(found, key=lambda u: (-found[u], u))[:units]
     if shared:
         clean = Counter({u: n for u, n in clean.items() if leaning(u) < least})
 
@@ -261,14 +274,14 @@ def _machine(texts: list[Counter], toxic: list[bool], lean: dict[str, float], sh
         return zlib.crc32(u.encode("utf-8", "surrogatepass"))
 
     # the clean units most like a suspicious one, the most frequent, and others by a hash of theirs
-    hard = sorted(clean, key=lambda u: (-leaning(u), u))[:4000]
-    common = [u for u, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0]))[:4000]]
+    hard = sorted(clean, key=lambda u: (-leaning(u), u))[:units]
+    common = [u for u, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0]))[:units]]
     others = sorted(clean, key=key)
     if not positives or not clean:
         return None
     machine = None
     for _ in range(2):
-        negatives = sorted({*hard, *common, *others[:12000]})
+        negatives = sorted({*hard, *common, *others[: 3 * units]})
         marks = positives[:LANDMARKS] + sorted(positives[LANDMARKS:], key=key)[: LANDMARKS // 2] + sorted(hard[:1000], key=key)[:LANDMARKS]
         k = kernel(marks, marks)
         value, vector = np.linalg.eigh((k + k.T) / 2)
@@ -278,18 +291,19 @@ def _machine(texts: list[Counter], toxic: list[bool], lean: dict[str, float], sh
         y = np.r_[np.ones(len(positives)), -np.ones(len(negatives))]
         heavy = np.sqrt([found[u] for u in positives])
         share = np.r_[0.5 * heavy / heavy.sum(), np.full(len(negatives), 0.5 / len(negatives))] * len(y)
-        w = squared_hinge(z.astype(np.float64), y, share)
+        w = squared_hinge(z, y, share)
         machine = Machine(Subsequences(marks).spread(whiten @ w[:-1]).astype(np.float32), float(w[-1]))
         # once more, against the clean units that the machine itself finds worst
         scores = machine.outputs(Subsequences(others))
-        hard = [others[i] for i in np.argsort(-scores, kind="stable")[:4000]]
+        hard = [others[i] for i in np.argsort(-scores, kind="stable")[:units]]
     return machine
 
 
 def fit(rows: list[tuple[int, str, int]]) -> Model | None:
     """Train on (id, text, label) rows; None unless both classes are there."""
     rows = sorted(rows, key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
-    words = [words_of(t or "") for _, t, _ in rows]
+    pool: dict[str, str] = {}  # each word is held once
+    words = [[pool.setdefault(w, w) for w in words_of(t or "")] for _, t, _ in rows]
     toxic = [y == 1 for *_, y in rows]
     fitted = [i for i in range(len(rows)) if i % 4 != 3]  # every fourth text is left for the scale
     both = {True, False}
@@ -297,14 +311,14 @@ def fit(rows: list[tuple[int, str, int]]) -> Model | None:
     if set(ys) != both:
         return None
     texts = [Counter(u for w in words[i] for u in spelled(w)) for i in fitted]
-    lean = _suspicion([_often(t) for t in texts], ys)
+    lean = _suspicion((_often(t) for t in texts), ys)
     often = _machine(texts, ys, lean, shared=True)
     far = {g for g, x in lean.items() if x >= _least(lean, True) > 0}
     held = Counter(g for t, y in zip(texts, ys, strict=True) if not y for g in far.intersection(g for u in t for g in _strings(u, LONGEST)))
     usual = {g for g, n in held.items() if n > COMMON * ys.count(False)}
     if usual:
         texts = [Counter({u: n for u, n in t.items() if usual.isdisjoint(_strings(u, LONGEST))}) for t in texts]
-    once = _machine(texts, ys, _suspicion([{g for u in t for g in _strings(u)} for t in texts], ys), shared=False)
+    once = _machine(texts, ys, _suspicion(({g for u in t for g in _strings(u)} for t in texts), ys), shared=False)
     if once is None and often is None:
         return None
     model = Model(once, often, np.array([[1.0, -30.0], [1.0, -30.0]]))
@@ -347,19 +361,22 @@ def remainder(doc_id):
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, longest: int = 20_000) -> Model | None:
     """A model from at most `per_class` labelled texts of each class, of at most `longest` characters each.
 
-    These bounds hold for training only, and keep its data under 2 * per_class * longest characters on the driver.
+    These bounds hold for training only, and keep its data under 2 * per_class * longest characters on the driver; UNITS
+    and LANDMARKS bound the units of these texts that the machines are fitted on. An id that is labelled both ways is
+    left out.
     Rows whose crc32(doc_id as text) mod 5 is 0 are never used.
     """
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(remainder(F.col("doc_id")) != 0)
+    agreed = rows.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most and toxic in (0, 1)").select("doc_id", "toxic")
     short = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") <= longest)
     wanted = None
     for y in (0, 1):  # candidates: twice as many, since some texts are too long or missing
-        one = rows.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class)
+        one = agreed.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class)
         wanted = one if wanted is None else wanted.unionByName(one)
-    got = short.join(F.broadcast(wanted.dropDuplicates(["doc_id"])), "doc_id")
+    got = materialize(docs.sparkSession, short.join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "toxic"), "labelled")  # one scan
     kept: list = []
     for y in (0, 1):
-        kept += got.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).select("doc_id", "text", "toxic").collect()
+        kept += got.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(per_class).select("doc_id", "text", "toxic").collect()
     return fit([(r.doc_id, r.text, r.toxic) for r in kept])
 
 
