@@ -19,6 +19,7 @@ table; other columns are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from functools import lru_cache
 
@@ -80,6 +81,23 @@ def bigrams(text: str) -> set[tuple[str, str]]:
     return set(zip(words, words[1:], strict=False))
 
 
+class Disjoint:
+    """Intervals that don't overlap."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def add(self, start: int, end: int) -> bool:
+        """Whether [start, end) overlaps none so far; then it is one of them."""
+        k = bisect_right(self.starts, start)
+        if k and self.ends[k - 1] > start or k < len(self.starts) and self.starts[k] < end:
+            return False
+        self.starts.insert(k, start)
+        self.ends.insert(k, end)
+        return True
+
+
 class Templates:
     def __init__(self, threshold: float = THRESHOLD, texts: list[tuple[str, str]] | None = None):
         """texts: pairs of a licence's name and a template; without them, those of this module."""
@@ -129,10 +147,8 @@ class Templates:
                 if (best := self.best(grams)) is not None:
                     found.append((best[1], best[0], first, last - first + 1))
         found.sort(key=lambda m: (-m[1], m[2], m[3], m[0]))
-        kept: list = []
-        for m in found:
-            if not any(m[0] == o[0] and m[2] < o[2] + o[3] and o[2] < m[2] + m[3] for o in kept):
-                kept.append(m)
+        taken = {name: Disjoint() for name in {m[0] for m in found}}
+        kept = [m for m in found if taken[m[0]].add(m[2], m[2] + m[3])]
         return sorted(kept + self.windows(lines, kept), key=lambda m: (m[2], m[0]))
 
     def windows(self, lines: list[str], taken: list) -> list[tuple[str, float, int, int]]:
@@ -187,11 +203,8 @@ class Templates:
                     if dice >= t:
                         found.append((-dice, self.names[i], first, last + 1))
         found.sort(key=lambda m: (m[0], m[2] - m[3], m[2], m[1]))
-        kept: list = []
-        for m in found:
-            if all(m[3] < o[2] or o[3] < m[2] for o in kept):
-                kept.append(m)
-        return kept
+        taken = Disjoint()
+        return [m for m in found if taken.add(m[2], m[3] + 1)]
 
 
 @lru_cache(maxsize=4)

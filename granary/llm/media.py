@@ -33,7 +33,7 @@ class Found(NamedTuple):
     length: int
 
 
-def _png(b: bytes, at: int) -> int | None:
+def _png(b: bytes, at: int, known: dict) -> int | None:
     p = at + 8
     while p + 12 <= len(b):
         size, name = struct.unpack_from(">I4s", b, p)
@@ -47,29 +47,33 @@ def _png(b: bytes, at: int) -> int | None:
     return None
 
 
-def _gif(b: bytes, at: int) -> int | None:
+def _gif(b: bytes, at: int, known: dict) -> int | None:
     if at + 13 > len(b):
         return None
     flags = b[at + 10]
-    p = at + 13 + (3 << (flags & 7) + 1 if flags & 128 else 0)
-    while p < len(b):
-        mark = b[p]
-        if mark == 0x3B:
-            return p + 1 - at
-        if mark == 0x21:
-            p += 2
-        elif mark == 0x2C and p + 10 < len(b):
-            own = b[p + 9]
-            p += 11 + (3 << (own & 7) + 1 if own & 128 else 0)
+    ends = known.setdefault("gif", {})  # (in a block's data, place) -> where the image ends from there on
+    state, walked = (False, at + 13 + (3 << (flags & 7) + 1 if flags & 128 else 0)), []
+    while state not in ends:
+        walked.append(state)
+        inside, p = state
+        if p >= len(b):
+            ends[state] = None
+        elif inside:
+            state = (bool(b[p]), p + b[p] + 1)
+        elif b[p] == 0x3B:
+            ends[state] = p + 1
+        elif b[p] == 0x21:
+            state = (True, p + 2)
+        elif b[p] == 0x2C and p + 10 < len(b):
+            state = (True, p + 11 + (3 << (b[p + 9] & 7) + 1 if b[p + 9] & 128 else 0))
         else:
-            return None
-        while p < len(b) and b[p]:
-            p += b[p] + 1
-        p += 1
-    return None
+            ends[state] = None
+    end = ends[state]
+    ends.update(dict.fromkeys(walked, end))
+    return None if end is None else end - at
 
 
-def _bmp(b: bytes, at: int) -> int | None:
+def _bmp(b: bytes, at: int, known: dict) -> int | None:
     if at + 54 > len(b):
         return None
     size, r1, r2, data, header, w, h, planes, bits = struct.unpack_from("<IHHIIiiHH", b, at + 2)
@@ -80,7 +84,7 @@ def _bmp(b: bytes, at: int) -> int | None:
     return size if at + size <= len(b) else None
 
 
-def _riff(b: bytes, at: int) -> int | None:
+def _riff(b: bytes, at: int, known: dict) -> int | None:
     if at + 12 > len(b):
         return None
     size, form = struct.unpack_from("<I4s", b, at + 4)
@@ -96,7 +100,7 @@ def _riff(b: bytes, at: int) -> int | None:
     return 8 + size if form != b"WAVE" or {b"fmt ", b"data"} <= names else None
 
 
-def _jpeg(b: bytes, at: int) -> int | None:
+def _jpeg(b: bytes, at: int, known: dict) -> int | None:
     p = at + 2
     while p + 4 <= len(b) and b[p] == 0xFF:
         mark = b[p + 1]
@@ -104,12 +108,14 @@ def _jpeg(b: bytes, at: int) -> int | None:
             return None
         p += 2 + struct.unpack_from(">H", b, p + 2)[0]
         if mark == 0xDA:
-            end = b.find(b"\xff\xd9", p)
+            lo, end = known.get("jpeg", (0, -2))
+            if not (lo <= p <= end or lo <= p and end == -1):  # else no end stands between there and here
+                known["jpeg"] = (p, end := b.find(b"\xff\xd9", p))
             return end + 2 - at if end >= 0 else None
     return None
 
 
-def _pdf(b: bytes, at: int) -> int | None:
+def _pdf(b: bytes, at: int, known: dict) -> int | None:
     if b[at + 5 : at + 6] not in (b"1", b"2") or b[at + 6 : at + 7] != b".":
         return None
     following = b.find(b"%PDF-", at + 5)
@@ -117,17 +123,22 @@ def _pdf(b: bytes, at: int) -> int | None:
     return end + 5 - at if end >= 0 and b.rfind(b"startxref", at, end) >= 0 else None
 
 
-def _zip(b: bytes, at: int) -> int | None:
-    end = b.find(b"PK\x05\x06", at)
-    while 0 <= end and end + 22 <= len(b):
-        size, start, note = struct.unpack_from("<IIH", b, end + 12)
-        if at + start + size == end and end + 22 + note <= len(b) and (not size or b[at + start : at + start + 4] == b"PK\x01\x02"):
-            return end + 22 + note - at
-        end = b.find(b"PK\x05\x06", end + 4)
-    return None
+def _zip(b: bytes, at: int, known: dict) -> int | None:
+    if "zip" not in known:  # each end record says where its archive starts
+        starts: dict[int, int] = {}
+        end = b.find(b"PK\x05\x06")
+        while 0 <= end and end + 22 <= len(b):
+            size, start, note = struct.unpack_from("<IIH", b, end + 12)
+            first = end - size - start
+            if end + 22 + note <= len(b) and (not size or b[end - size : end - size + 4] == b"PK\x01\x02"):
+                starts.setdefault(first, end + 22 + note)
+            end = b.find(b"PK\x05\x06", end + 4)
+        known["zip"] = starts
+    end = known["zip"].get(at)
+    return None if end is None else end - at
 
 
-def _gzip(b: bytes, at: int) -> int | None:
+def _gzip(b: bytes, at: int, known: dict) -> int | None:
     if at + 18 > len(b) or b[at + 3] & 0xE0:
         return None
     d, p = zlib.decompressobj(31), at
@@ -140,7 +151,7 @@ def _gzip(b: bytes, at: int) -> int | None:
     return min(p, len(b)) - len(d.unused_data) - at if d.eof else None
 
 
-def _ogg(b: bytes, at: int) -> int | None:
+def _ogg(b: bytes, at: int, known: dict) -> int | None:
     p = at
     while b[p : p + 4] == b"OggS" and p + 27 <= len(b) and b[p + 4] == 0:
         table = b[p + 27 : p + 27 + b[p + 26]]
@@ -185,13 +196,13 @@ def _automaton():
 
 def scan(blob: bytes) -> Iterator[Found]:
     """The valid media of a blob, outermost first: within one that was found, the search goes on."""
-    tried = 0
+    tried, known = 0, {}  # known: what validators found out about the blob as a whole, so that many starts don't cost many passes
     for end, magic in _automaton().iter(blob.decode("latin-1")):
         start = end + 1 - len(magic)
         kind, valid = MAGIC[magic]
         if magic == b"OggS" and start < tried:
             continue  # a later page of the same stream
-        length = valid(blob, start)
+        length = valid(blob, start, known)
         if length is not None:
             if magic == b"OggS":
                 tried = start + length

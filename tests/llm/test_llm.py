@@ -396,6 +396,30 @@ def test_unknown_media_keep_their_type():
     assert sniff(b"", "x/y") == ("x/y", False, [])
 
 
+def test_hostile_media_take_linear_time():
+    import time
+
+    from granary.llm.media import scan
+
+    def took(make):
+        out = []
+        for n in (1, 8):
+            blob = make(n)
+            t = time.perf_counter()
+            list(scan(blob))
+            out.append(time.perf_counter() - t)
+        return out
+
+    for make in (
+        lambda n: b"PK\x03\x04" * (5000 * n),
+        lambda n: (b"PK\x03\x04" + b"PK\x05\x06" + bytes(18)) * (1000 * n),
+        lambda n: (b"GIF89a" + bytes(4) + b"\0\0\0" + b"\x21\x01" + b"\x01x") * (1000 * n),
+        lambda n: b"\xff\xd8\xff\xda\0\x02" * (2000 * n),
+    ):
+        short, long = took(make)
+        assert long < 40 * short + 0.2
+
+
 def test_carve_media(spark):
     from granary.llm.media import carve_media
 
@@ -804,6 +828,28 @@ def test_licences_inside_lines():
     assert found(other) == []
 
 
+def test_many_licence_lines_take_linear_time():
+    import time
+
+    from granary.llm.licences import Templates
+
+    known, took = Templates(), []
+    for n in (100, 800):
+        t = time.perf_counter()
+        found = known.scan("\n".join(["Licensed under the MIT License.", "Released under CC0 1.0."] * n))
+        took.append(time.perf_counter() - t)
+        assert len(found) == 2 * n
+    assert took[1] < 16 * took[0] + 0.5
+
+
+def test_ids_labelled_both_ways_are_not_learnt_from(spark):
+    from granary.llm.toxicity import train
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, t) for i in range(20) for t in (0, 1)], "doc_id long, quality int, toxic int")
+    assert train(docs, labels) is None
+
+
 def test_empty_tables(spark, docs):
     from granary.llm import chat, encode_decode, exact_dedup, licences, media, near_dup, packing, quality, token_counts, toxicity
 
