@@ -9,7 +9,7 @@ as unlikely as it is long. Every n-gram of trusted text counts, so the model gro
    interpolated probabilities of the lower orders and weights of contexts come from joins of those shards.
 2. Documents are taken in blocks of BLOCK rows. Each block asks for its distinct n-grams, once each: the asked ones meet
    the model in shards by their hash, so no worker holds more of the model than a shard, and what was found goes back to
-   the block, where it meets the texts. A document's bits are summed over its whole text.
+   the block, where it meets the texts, which are moved compressed. A document's bits are summed over its whole text.
 3. A document's perplexity has PRIOR symbols of its language's usual perplexity added, so a short text isn't judged by
    a few symbols. It is rejected where its perplexity lies above its language's threshold: the QUANTILE of the trusted
    documents kept aside, times SLACK.
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -221,8 +222,9 @@ def train(trusted: DataFrame, text_col: str = "text") -> tuple[DataFrame, float]
 
 # scoring
 
-_packed = "key long, kind int, block long, row long, doc_id long, lang string, text string, keys binary, p binary, w binary"
-_packed_arrow = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("block", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("text", pa.string()), ("keys", pa.binary()), ("p", pa.binary()), ("w", pa.binary())])
+#: Rows that are dealt out by key: of the model (kind 0) and questions (1) by shard; answers (0) and texts (1) by block.
+_packed = "key long, kind int, block long, size long, keys binary, p binary, w binary"
+_packed_arrow = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("block", pa.int64()), ("size", pa.int64()), ("keys", pa.binary()), ("p", pa.binary()), ("w", pa.binary())])
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:
@@ -349,6 +351,25 @@ def bits_of(codes: np.ndarray, model: list[np.ndarray], unseen: float) -> np.nda
     return -np.log2(out)
 
 
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, row, doc_id, lang, text) to rows (key: block, keys: compressed batches of the other columns, size: plain)."""
+    codec = pa.Codec("zstd", compression_level=6)
+    for b in batches:
+        blocks = b.column(0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(b.column(4)), 0).to_pylist()
+        lo = held = 0
+        for i in range(b.num_rows + 1):
+            if i > lo and (i == b.num_rows or blocks[i] != blocks[lo] or held + sizes[i] > 4 * SLICE_CHARS):
+                part = pa.RecordBatch.from_arrays([b.column(k).slice(lo, i - lo) for k in range(1, 5)], names=["row", "doc_id", "lang", "text"])
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema) as writer:
+                    writer.write_batch(part)
+                plain = sink.getvalue()
+                yield _batch([{"key": int(blocks[lo]), "kind": 1, "size": plain.size, "keys": codec.compress(plain, asbytes=True)}])
+                lo, held = i, 0
+            held += sizes[i] if i < b.num_rows else 0
+
+
 _scored = "row long, doc_id long, lang string, n_symbols long, bits double"
 
 
@@ -376,25 +397,20 @@ def _scorer(unseen: float):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, out.types, strict=True)], schema=out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts, model, seen, rows, held = None, [], None, None, [], 0
+        codec = pa.Codec("zstd")
+        now, parts, model, seen = None, [], None, None
         for b in batches:
             for r in _columns(b):
                 if r["key"] != now:
-                    if rows:
-                        yield score(rows, model, seen)
-                    now, parts, model, rows, held = r["key"], [], None, [], 0
+                    now, parts, model = r["key"], [], None
                 if r["kind"] == 0:
                     parts.append([np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["p"], np.float32), np.frombuffer(r["w"], np.float32)])
                     continue
                 if model is None:
                     model, seen = _merged(parts), Seen()
-                rows.append(r)
-                held += len(r["text"] or "")
-                if held > SLICE_CHARS or len(rows) >= 2000:
-                    yield score(rows, model, seen)
-                    rows, held = [], 0
-        if rows:
-            yield score(rows, model, seen)
+                texts = pa.ipc.open_stream(codec.decompress(r["keys"], r["size"])).read_next_batch()
+                for lo in range(0, texts.num_rows, 2000):
+                    yield score(texts.slice(lo, 2000).to_pylist(), model, seen)
 
     return run
 
@@ -421,7 +437,7 @@ def perplexities(rows: DataFrame, model: DataFrame, unseen: float) -> DataFrame:
     known = model.select("gram", "p", "w").mapInArrow(_model_keys(shards), _packed)
     asked = rows.select("block", "text").mapInArrow(_asked(shards), _packed)
     answered = _by_key(known.unionByName(asked)).mapInArrow(_answered, _packed)
-    texts = rows.select(F.col("block").alias("key"), F.lit(1).alias("kind"), F.col("block"), "row", "doc_id", "lang", "text", *[F.lit(None).cast("binary").alias(c) for c in ("keys", "p", "w")])
+    texts = rows.select("block", "row", "doc_id", "lang", "text").mapInArrow(_texts, _packed)
     return _by_key(answered.unionByName(texts)).mapInArrow(_scorer(unseen), _scored)
 
 
