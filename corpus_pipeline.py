@@ -9,6 +9,10 @@ of them; empty tables pass through; other columns are carried along.
 
 from __future__ import annotations
 
+import re
+
+import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,14 +21,38 @@ from granary.llm.batches import without
 from granary.session import materialize
 
 ROW = "_pipeline_row"
+#: A path's scheme, which Spark spells in two ways.
+SCHEME = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*:/+")
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def _read_as_is(docs: DataFrame) -> bool:
+    """Whether docs are the rows of files, each once: a relation, perhaps filtered or with other columns."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation"
+
+
 def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with a number for each row, written, so that it stays the same in every reading."""
+    """docs with a number for each row, the same in every reading.
+
+    Rows of Parquet files are numbered by their file's slot, of 2 ** 31, and their place in it (a salt is sought that
+    gives each file a slot of its own); others are written with a number.
+    """
+    files = [SCHEME.sub("/", f) for f in docs.inputFiles()] if _read_as_is(docs) else []
+    for salt in map(str, range(16)):
+        slots = {xxhash.xxh64_intdigest(f"{f}{salt}".encode(), 42) % 2**31 for f in files}  # as xxhash64 in Spark
+        if files and len(slots) == len(files):
+            path = F.regexp_replace("_metadata.file_path", SCHEME.pattern, "/")
+            slot = F.pmod(F.xxhash64(F.concat(path, F.lit(salt))), F.lit(2**31))
+            try:
+                return docs.withColumn(ROW, slot * F.lit(2**32) + F.col("_metadata.row_index"))
+            except AnalysisException:  # files of another format
+                break
     return materialize(spark, docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
 
 
