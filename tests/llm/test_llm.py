@@ -894,6 +894,19 @@ def test_pipeline_matches_plain_steps(spark, sf_dir, docs):
         now = out
 
 
+def test_pipeline_numbers_rows_once_each(spark, docs, tmp_path):
+    import corpus_pipeline as cp
+
+    docs.repartition(5).write.parquet(str(tmp_path / "docs"))
+    read = spark.read.parquet(str(tmp_path / "docs"))
+    for df in (read, read.where("doc_id > 50").withColumn("more", F.lit(1)), read.union(read), read.join(docs.select("doc_id"), "doc_id"), read.limit(7)):
+        rows = cp._numbered(spark, df)
+        first, again = ({(r[cp.ROW], r.doc_id) for r in rows.select(cp.ROW, "doc_id").collect()} for _ in range(2))
+        assert first == again and len({n for n, _ in first}) == df.count()
+    assert cp._read_as_is(read) and not cp._read_as_is(read.union(read))
+    assert {cp.SCHEME.sub("/", f) for f in read.inputFiles()} == {cp.SCHEME.sub("/", r.p) for r in read.select(F.col("_metadata.file_path").alias("p")).distinct().collect()}
+
+
 def test_pipeline_stages_in_odd_cases(spark, odd, sf_dir):
     """Rows are judged one by one: null and repeated ids, repeated rows, clashing columns, and tables without rows."""
     import corpus_pipeline
