@@ -41,6 +41,8 @@ QUANTILE, SLACK, LEAST, FOLDS = 0.99, 1.25, 30, 5
 BLOCK = 8192
 #: A shard of the model holds about so many n-grams (24 bytes each).
 SHARD = 100_000
+#: So many symbols are taken at once; a worker holds some hundred bytes for each.
+PART = SLICE_CHARS // 4
 #: Up to so many ids of trusted documents are broadcast (8 bytes each); beyond, the texts are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -85,7 +87,7 @@ def keys_of(codes: np.ndarray) -> np.ndarray:
     return _mixed(x, k)
 
 
-def items_of(texts: Iterator[tuple[int, str]], chars: int = SLICE_CHARS) -> Iterator[list[tuple[int, np.ndarray, np.ndarray]]]:
+def items_of(texts: Iterator[tuple[int, str]], chars: int = PART) -> Iterator[list[tuple[int, np.ndarray, np.ndarray]]]:
     """Lists of (owner, symbols before, symbols) of about `chars` symbols in all; long texts come in several parts."""
     held, items = 0, []
     for owner, text in texts:
