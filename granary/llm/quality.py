@@ -224,6 +224,8 @@ def train(trusted: DataFrame, text_col: str = "text") -> tuple[DataFrame, float]
 
 # scoring
 
+_codec = pa.Codec("zstd", compression_level=1)
+
 #: Rows that are dealt out by key: of the model (kind 0) and questions (1) by shard; answers (0) and texts (1) by block.
 _packed = "key long, kind int, block long, size long, keys binary, p binary, w binary"
 _packed_arrow = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("block", pa.int64()), ("size", pa.int64()), ("keys", pa.binary()), ("p", pa.binary()), ("w", pa.binary())])
@@ -233,6 +235,32 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=_packed_arrow)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of an array, compressed by their place in its values."""
+    return _codec.compress(np.ascontiguousarray(x.view(np.uint8).reshape(x.size, -1).T), asbytes=True)
+
+
+def _from_planes(data: bytes, kind: type, n: int) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(_codec.decompress(data, n * width), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _keys_row(key: int, kind: int, keys: np.ndarray, p: np.ndarray | None = None, w: np.ndarray | None = None, block: int | None = None) -> dict:
+    """A row of sorted keys, as their differences, with their values."""
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    return {"key": key, "kind": kind, "block": block, "size": keys.size, "keys": _planes(gaps)} | ({} if p is None else {"p": _planes(p), "w": _planes(w)})
+
+
+def _keys(row: dict) -> np.ndarray:
+    return np.cumsum(_from_planes(row["keys"], np.uint64, row["size"]), dtype=np.uint64)
+
+
+def _found(row: dict) -> list[np.ndarray]:
+    """keys, p, w of a row."""
+    return [_keys(row), *(_from_planes(row[c], np.float32, row["size"]) for c in ("p", "w"))]
+
+
 def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
 
@@ -261,7 +289,7 @@ def _model_keys(shards: int):
             order = np.argsort(keys)
             p, w = (np.array(b.column(c).to_pylist(), np.float64)[order].astype(np.float32) for c in (1, 2))  # None: nan
             keys = keys[order]
-            rows = [{"key": s, "kind": 0, "keys": keys[at].tobytes(), "p": p[at].tobytes(), "w": w[at].tobytes()} for s, at in _by_shard(keys, shards)]
+            rows = [_keys_row(s, 0, keys[at], p[at], w[at]) for s, at in _by_shard(keys, shards)]
             if rows:
                 yield _batch(rows)
 
@@ -275,7 +303,7 @@ def _asked(shards: int):
         codes = np.concatenate(rows)
         need = [keys_of(codes[:, ORDER - k :]) for k in range(1, ORDER + 1)] + [keys_of(codes[:, ORDER - k : -1]) for k in range(2, ORDER + 1)]
         keys = np.unique(np.concatenate([np.unique(x) for x in need]))
-        yield _batch([{"key": s, "kind": 1, "block": block, "keys": keys[at].tobytes()} for s, at in _by_shard(keys, shards)])
+        yield _batch([_keys_row(s, 1, keys[at], block=block) for s, at in _by_shard(keys, shards)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows, seen = None, [], Seen()
@@ -313,18 +341,18 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if r["key"] != now:
                 now, parts, model = r["key"], [], None
             if r["kind"] == 0:
-                parts.append([np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["p"], np.float32), np.frombuffer(r["w"], np.float32)])
+                parts.append(_found(r))
                 continue
             if not parts:
                 continue
             if model is None:
                 model = _merged(parts)
             keys, p, w = model
-            at = np.searchsorted(keys, asked := np.frombuffer(r["keys"], np.uint64))
+            at = np.searchsorted(keys, asked := _keys(r))
             at[at == keys.size] = 0
             at = at[keys[at] == asked]
             if at.size:
-                yield _batch([{"key": r["block"], "kind": 0, "keys": keys[at].tobytes(), "p": p[at].tobytes(), "w": w[at].tobytes()}])
+                yield _batch([_keys_row(r["block"], 0, keys[at], p[at], w[at])])
 
 
 def _merged(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
@@ -406,7 +434,7 @@ def _scorer(unseen: float):
                 if r["key"] != now:
                     now, parts, model = r["key"], [], None
                 if r["kind"] == 0:
-                    parts.append([np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["p"], np.float32), np.frombuffer(r["w"], np.float32)])
+                    parts.append(_found(r))
                     continue
                 if model is None:
                     model, seen = _merged(parts), Seen()
