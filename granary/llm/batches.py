@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 from collections.abc import Callable, Iterator
 
@@ -18,6 +20,22 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 SLICE_CHARS = 1_000_000
 
 
+def released(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """run, which gives its memory back to the system at its end: Python workers live on between stages."""
+
+    @functools.wraps(run)
+    def releasing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+            if trim is not None:
+                trim(0)
+
+    return releasing
+
+
 def slices(batches: Iterator[pa.RecordBatch], chars: int = SLICE_CHARS) -> Iterator[tuple[list, list[str]]]:
     """Lists of ids and of whole texts (null: empty), each of at most `chars` characters or of one text."""
     for batch in batches:
@@ -63,6 +81,7 @@ def map_texts(df: DataFrame, ddl: str, start: Callable[[], Callable[[list, list[
     """Run start()(ids, texts) -> columns over every row, in slices. `start` runs once for each task."""
     schema = T.StructType.fromDDL(ddl)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work, out = start(), arrow_schema(schema)
         for ids, texts in slices(batches):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.batches import SLICE_CHARS, arrow_schema
+from granary.llm.batches import SLICE_CHARS, arrow_schema, released
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Tokens that a part expands to where it doesn't say so itself: for each image tile, second of audio, page.
@@ -123,6 +123,7 @@ def format_turns(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     full = T.StructType([*schema, T.StructField("attachments", T.ArrayType(T.StructType.fromDDL(ATTACHMENT))), T.StructField("attached_tokens", T.LongType())])
     out = pa.schema([*arrow_schema(schema), ("attachments", pa.list_(pa.struct([("ordinal", pa.int32()), ("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int32())]))), ("attached_tokens", pa.int64())])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, n in _spans(batch):
@@ -168,6 +169,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     schema = T.StructType.fromDDL("conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
     out = arrow_schema(schema)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, reader, rows = None, None, []
         for batch in batches:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from granary.llm.batches import arrow_schema, map_texts
+from granary.llm.batches import arrow_schema, map_texts, released
 
 BLOCK, RATE = 192, 8000
 
@@ -266,6 +266,7 @@ def read_media(media: DataFrame) -> DataFrame:
     )
     out = arrow_schema(schema)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -285,6 +286,7 @@ def carve_media(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
     schema = T.StructType.fromDDL("doc_id long, start long, length long, media_type string, blob binary")
     out = arrow_schema(schema)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, blob in zip(*batch.columns, strict=True):

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.batches import arrow_schema, id_text, map_texts
+from granary.llm.batches import arrow_schema, id_text, map_texts, released
 from granary.llm.byte_bpe import Pieces
 from granary.session import materialize
 
@@ -184,6 +184,7 @@ def _numbers(packed: bytes) -> np.ndarray:
     return np.frombuffer(packed, np.uint64)
 
 
+@released
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, sig, sig) to those (a, b) whose signatures agree in LEAST of the slots."""
     for batch in batches:
@@ -193,6 +194,7 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
 
+@released
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, set, set) to those (a, b) with 100 * intersection >= 75 * union."""
     for batch in batches:
@@ -234,6 +236,7 @@ def _with_both(pairs: DataFrame, of: DataFrame, value: str) -> DataFrame:
     return one.join(of.select(F.col("rep").alias("b"), F.col(value).alias("of_b")), "b").select("a", "b", "of_a", "of_b")
 
 
+@released
 def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, root) of every linked node that isn't its component's smallest, from all edges (a, b)."""
     up: dict[int, int] = {}
@@ -295,6 +298,7 @@ def _pairs(a: list[int], b: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(map(min, a, b), pa.int64()), pa.array(map(max, a, b), pa.int64())], names=["a", "b"])
 
 
+@released
 def _block_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each block the most alike pairs that would join its groups: fewer pairs than members (Boruvka's rounds)."""
     for rows in _blocks(batches):
@@ -330,6 +334,7 @@ def _block_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 _member = pa.schema([("bucket", pa.int64()), ("part", pa.int32()), ("rep", pa.int64()), ("root", pa.int64())])
 
 
+@released
 def _block_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each block those members that have an alike one of another group."""
     for rows in _blocks(batches):
@@ -347,6 +352,7 @@ def _block_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept, strict=True), _member.types, strict=True)], schema=_member)
 
 
+@released
 def _block_links(batches: Iterator[pa.RecordBatch], columns: int = 4096) -> Iterator[pa.RecordBatch]:
     """Links by full sets between members of different groups; as few as join what they join.
 
@@ -383,6 +389,7 @@ def _block_links(batches: Iterator[pa.RecordBatch], columns: int = 4096) -> Iter
             yield _pairs(a, b)
 
 
+@released
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """SPLITS narrower buckets of each (bucket, rep, sig): by ROWS slots each that the bucket's key draws."""
     for batch in batches:

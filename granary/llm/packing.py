@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from granary.llm.batches import arrow_schema, id_text, slices
+from granary.llm.batches import arrow_schema, id_text, released, slices
 from granary.llm.byte_bpe import byte_chars
 
 #: A place inside a sentence is offered for a cut only after so many tokens without another place.
@@ -240,6 +240,7 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = T.StructType.fromDDL("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     out = arrow_schema(schema)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _tokens(tokenizer, end_id)
         packer = Packer(window, TaskContext.get().partitionId() << SEQUENCE_BITS)

@@ -32,7 +32,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.batches import SLICE_CHARS
+from granary.llm.batches import SLICE_CHARS, released
 from granary.session import materialize
 
 ORDER = 5
@@ -148,6 +148,7 @@ def count_grams(docs: DataFrame, text_col: str = "text", hold: int = 2_000_000)
     """gram, n: counts of all n-grams of highest order of all texts, summed in each task before they are shuffled."""
     out = pa.schema([("gram", pa.string()), ("n", pa.int64())])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, codes, names, counts, held = Seen(), [], [], [], 0
 
@@ -276,6 +277,7 @@ def _by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
 def _model_keys(shards: int):
     """gram, p, w to rows (key: shard, keys, p, w) of sorted keys."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             grams = b.column(0).to_pylist()
@@ -305,6 +307,7 @@ def _asked(shards: int):
         keys = np.unique(np.concatenate([np.unique(x) for x in need]))
         yield _batch([_keys_row(s, 1, keys[at], block=block) for s, at in _by_shard(keys, shards)])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows, seen = None, [], Seen()
         for b in batches:
@@ -333,6 +336,7 @@ def _columns(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {n: c[i].as_py() for n, c in zip(names, columns, strict=True)}
 
 
+@released
 def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of the model, then of questions, shard by shard, to rows (key: block, keys, p, w) of what was found."""
     now, parts, model = None, [], None
@@ -381,6 +385,7 @@ def bits_of(codes: np.ndarray, model: list[np.ndarray], unseen: float) -> np.nda
     return -np.log2(out)
 
 
+@released
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, row, doc_id, lang, text) to rows (key: block, keys: compressed batches of the other columns, size: plain)."""
     codec = pa.Codec("zstd", compression_level=6)
@@ -426,6 +431,7 @@ def _scorer(unseen: float):
         columns = [[r[c] for r in rows] for c in ("row", "doc_id", "lang")] + [n, bits]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, out.types, strict=True)], schema=out)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd")
         now, parts, model, seen = None, [], None, None

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.batches import map_texts, slices
+from granary.llm.batches import map_texts, released, slices
 from granary.llm.byte_bpe import Pieces
 from granary.session import materialize
 
@@ -416,6 +416,7 @@ def drop_toxic(docs: DataFrame, model: Model | None, text_col: str = "text") ->
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = _scorer(sent.value)
         for batch in batches:
