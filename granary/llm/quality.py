@@ -238,7 +238,7 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
 
 def _planes(x: np.ndarray) -> bytes:
     """The bytes of an array, compressed by their place in its values."""
-    return _codec.compress(np.ascontiguousarray(x.view(np.uint8).reshape(x.size, -1).T), asbytes=True)
+    return _codec.compress(np.ascontiguousarray(x.view(np.uint8).reshape(x.size, x.itemsize).T), asbytes=True)
 
 
 def _from_planes(data: bytes, kind: type, n: int) -> np.ndarray:

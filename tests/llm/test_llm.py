@@ -925,3 +925,34 @@ def test_pipeline_stages_in_odd_cases(spark, odd, sf_dir):
             rows = [(i, r.text or "") for i, r in enumerate(extra.collect())]
             assert out.count() == len({c for _, c in brute_components(rows).values()})
     assert stages["packing"](spark, extra, sf_dir).count() >= extra.count() - 1
+
+
+def test_released_keeps_rows_and_releases_on_early_end(monkeypatch):
+    from granary.llm import batches
+
+    batch, seen = pa.RecordBatch.from_pydict({"n": [1, 2]}), []
+    pool = type("Pool", (), {"release_unused": lambda self: seen.append("released")})()
+    monkeypatch.setattr(batches.pa, "default_memory_pool", lambda: pool)
+
+    @batches.released
+    def run(given):
+        yield from given
+
+    assert [b.to_pydict() for b in run(iter([batch, batch]))] == [{"n": [1, 2]}] * 2
+    assert list(run(iter([]))) == []
+    stopped = run(iter([batch, batch]))
+    next(stopped)
+    assert seen == ["released"] * 2
+    stopped.close()
+    assert seen == ["released"] * 3
+
+
+@pytest.mark.parametrize("keys", [[], [0], [2**64 - 1], [1, 5, 2**40, 2**63 + 9, 2**64 - 1]])
+def test_quality_keys_round_trip(keys):
+    from granary.llm import quality
+
+    keys = np.array(keys, np.uint64)
+    p = np.linspace(0, 1, keys.size, dtype=np.float32)
+    w = np.full(keys.size, np.nan, np.float32)
+    for got, want in zip(quality._found(quality._keys_row(3, 0, keys, p, w)), (keys, p, w), strict=True):
+        np.testing.assert_array_equal(got, want)
