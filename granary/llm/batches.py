@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,20 +20,56 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Texts are handled in slices of about this many characters, so a batch of long texts stays small in memory.
 SLICE_CHARS = 1_000_000
+#: Bytes after which an Arrow batch takes no further row. An executor holds several copies of a batch for each task.
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def released(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
-    """run, which gives its memory back to the system at its end: Python workers live on between stages."""
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of about BATCH_BYTES in this session from now on, unless it has a bound of its own."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
+def _trim() -> None:
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
+_held: dict = {}
+
+
+def remembered(key: Hashable, make: Callable[[], Any]) -> Any:
+    """make(), held over the tasks of a worker. A worker holds one such value; it goes when another key is asked for."""
+    if key not in _held:
+        forget()
+        _held[key] = make()
+    return _held[key]
+
+
+def forget() -> None:
+    """Drop the value that `remembered` holds, and give its memory back to the system."""
+    if _held:
+        _held.clear()
+        gc.collect()
+        _trim()
+
+
+def released(run: Callable[..., Iterator[pa.RecordBatch]], remembers: bool = False) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """run, which gives its memory back to the system at its end: Python workers live on between stages.
+
+    What earlier tasks have left in `remembered` goes before it starts, but where it `remembers` something itself.
+    """
 
     @functools.wraps(run)
     def releasing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
+            if not remembers:
+                forget()
             yield from run(batches)
         finally:
             pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
-            if trim is not None:
-                trim(0)
+            _trim()
 
     return releasing
 
@@ -81,7 +119,7 @@ def map_texts(df: DataFrame, ddl: str, start: Callable[[], Callable[[list, list[
     """Run start()(ids, texts) -> columns over every row, in slices. `start` runs once for each task."""
     schema = T.StructType.fromDDL(ddl)
 
-    @released
+    @functools.partial(released, remembers=True)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work, out = start(), arrow_schema(schema)
         for ids, texts in slices(batches):

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.batches import arrow_schema, id_text, map_texts, released
+from granary.llm.batches import arrow_schema, id_text, map_texts, released, remembered
 from granary.llm.byte_bpe import Pieces
 from granary.session import materialize
 
@@ -68,13 +68,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_words = Pieces(lambda new: [xxhash.xxh3_64_intdigest(w) for w in new])
+def _words() -> Pieces:
+    return remembered("near_dup", lambda: Pieces(lambda new: [xxhash.xxh3_64_intdigest(w) for w in new]))
 
 
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     """The sorted, distinct shingle hashes of each text."""
     words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
-    known = _words.learn({w for ws in words for w in ws})
+    known = _words().learn({w for ws in words for w in ws})
     out = []
     for ws in words:
         n = len(ws)

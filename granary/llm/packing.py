@@ -21,6 +21,7 @@ give their own pieces; an empty table gives an empty table; columns other than t
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from array import array
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from granary.llm.batches import arrow_schema, id_text, released, slices
+from granary.llm.batches import arrow_schema, id_text, released, remembered, slices
 from granary.llm.byte_bpe import byte_chars
 
 #: A place inside a sentence is offered for a cut only after so many tokens without another place.
@@ -240,7 +241,7 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = T.StructType.fromDDL("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     out = arrow_schema(schema)
 
-    @released
+    @functools.partial(released, remembers=True)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _tokens(tokenizer, end_id)
         packer = Packer(window, TaskContext.get().partitionId() << SEQUENCE_BITS)
@@ -258,11 +259,6 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return id_text(df, id_col, text_col).mapInArrow(run, schema)
 
 
-_known: dict = {}
-
-
 def _tokens(path: str | None, end_id: int) -> WordTokens:
     """One for each worker, file and end id."""
-    if (path, end_id) not in _known:
-        _known[path, end_id] = WordTokens(path, end_id)
-    return _known[path, end_id]
+    return remembered(("packing", path, end_id), lambda: WordTokens(path, end_id))

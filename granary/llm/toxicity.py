@@ -22,6 +22,7 @@ score is 0; repeated rows each give their row; an empty table gives an empty tab
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections import Counter
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.batches import map_texts, released, slices
+from granary.llm.batches import map_texts, released, remembered, slices
 from granary.llm.byte_bpe import Pieces
 from granary.session import materialize
 
@@ -380,17 +381,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, longest: in
     return fit([(r.doc_id, r.text, r.toxic) for r in kept])
 
 
-_memory: dict = {}
-
-
 def _scorer(m: Model | None):
     """Whole texts to scores; scores of words are remembered over tasks of a worker."""
     if m is None:
         return lambda texts: [0.0] * len(texts)
     key = tuple((x.weights.tobytes(), x.offset) if x else None for x in (m.once, m.often))
-    if _memory.get("key") != key:
-        _memory.update(key=key, pieces=Pieces(m.word_scores))
-    pieces = _memory["pieces"]
+    pieces = remembered(("toxicity", key), lambda: Pieces(m.word_scores))
 
     def score(texts: list[str]) -> list[float]:
         words = [words_of(t) for t in texts]
@@ -416,7 +412,7 @@ def drop_toxic(docs: DataFrame, model: Model | None, text_col: str = "text") ->
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
-    @released
+    @functools.partial(released, remembers=True)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = _scorer(sent.value)
         for batch in batches:

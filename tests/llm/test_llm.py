@@ -956,3 +956,61 @@ def test_quality_keys_round_trip(keys):
     w = np.full(keys.size, np.nan, np.float32)
     for got, want in zip(quality._found(quality._keys_row(3, 0, keys, p, w)), (keys, p, w), strict=True):
         np.testing.assert_array_equal(got, want)
+
+
+def test_a_worker_remembers_for_one_operator_at_a_time():
+    import gc
+    import weakref
+
+    from granary.llm import batches, near_dup, packing, toxicity
+    from granary.llm.byte_bpe import Pieces
+
+    def held():
+        gc.collect()
+        return [x for x in gc.get_objects() if isinstance(x, Pieces | packing.WordTokens)]
+
+    assert list(near_dup._linked(iter([]))) == []
+    before = {id(x) for x in held()}
+    score = toxicity._scorer(toxicity.Model(None, None, np.ones((2, 2))))
+    assert len(score(["some words"])) == 1
+    del score
+    toxic = [weakref.ref(x) for x in held() if id(x) not in before]
+    assert len(toxic) == 1
+    sets = near_dup.shingle_sets(["some words"])
+    gc.collect()
+    assert toxic[0]() is None
+    again = near_dup._words()
+    np.testing.assert_array_equal(near_dup.shingle_sets(["some words"])[0], sets[0])
+    assert near_dup._words() is again and again.known
+    words = weakref.ref(again)
+    del again
+    assert list(near_dup._linked(iter([]))) == []
+    gc.collect()
+    assert words() is None and not batches._held
+    tokens = weakref.ref(packing._tokens(None, 2))
+    assert packing._tokens(None, 2) is tokens()
+    near_dup.shingle_sets(["some words"])
+    gc.collect()
+    assert tokens() is None
+
+
+def test_pipeline_stages_take_rows_in_small_batches(spark, sf_dir):
+    import corpus_pipeline
+    from granary.llm import batches
+
+    def sizes(given):
+        for b in given:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]})
+
+    for name, stage in corpus_pipeline.STAGES:
+        if name == "exact_dedup":  # runs no Python
+            continue
+        own = spark.newSession()
+        stage(own, own.createDataFrame([], "doc_id long, lang string, text string"), sf_dir)
+        rows = own.range(0, 60, 1, 1).selectExpr("id", "repeat('x', 250000) text").mapInArrow(sizes, "n long, size long").collect()
+        assert sum(r.n for r in rows) == 60
+        assert max(r.size for r in rows) < batches.BATCH_BYTES + 2 * 250_000, name
+    own = spark.newSession()
+    own.conf.set(batches.BATCH_SETTING, "123456")
+    batches.small_batches(own)
+    assert own.conf.get(batches.BATCH_SETTING) == "123456"
