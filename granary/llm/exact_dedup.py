@@ -65,6 +65,7 @@ def keyed_state(spark: SparkSession, path: str, at: str, schema) -> DataFrame:
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+        "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # else executors hold all states' native memory for minutes
         "spark.sql.streaming.noDataMicroBatches.enabled": "false",
         "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions"),
     }.items():

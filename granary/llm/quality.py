@@ -154,9 +154,12 @@ def count_grams(docs: DataFrame, text_col: str = "text", hold: int = 2_000_000)
 
         def flush() -> Iterator[pa.RecordBatch]:
             key, first = np.unique(np.concatenate(names), return_index=True)
-            rows = np.concatenate(codes)[first]
-            n = np.zeros(key.size, np.int64)
-            for k, c in counts:
+            names.clear()  # each list goes as it is used
+            rows = np.concatenate(codes)
+            codes.clear()
+            rows, n = rows[first], np.zeros(key.size, np.int64)
+            while counts:
+                k, c = counts.pop()
                 n[np.searchsorted(key, k)] += c
             for lo in range(0, key.size, 50_000):
                 part = np.ascontiguousarray(rows[lo : lo + 50_000])
@@ -347,9 +350,9 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if r["kind"] == 0:
                 parts.append(_found(r))
                 continue
-            if not parts:
-                continue
             if model is None:
+                if not parts:
+                    continue
                 model = _merged(parts)
             keys, p, w = model
             at = np.searchsorted(keys, asked := _keys(r))
@@ -360,9 +363,18 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merged(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
-    keys, p, w = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.uint64), np.empty(0, np.float32), np.empty(0, np.float32))
+    """keys, p, w of all parts by key. Takes the parts, which go column by column, so little is held twice."""
+    if not parts:
+        return [np.empty(0, np.uint64), np.empty(0, np.float32), np.empty(0, np.float32)]
+    columns = [list(x) for x in zip(*parts, strict=True)]
+    parts.clear()
+    keys = np.concatenate(columns.pop(0))
     order = np.argsort(keys)
-    return [keys[order], p[order], w[order]]
+    out = [keys[order]]
+    del keys
+    while columns:
+        out.append(np.concatenate(columns.pop(0))[order])
+    return out
 
 
 def bits_of(codes: np.ndarray, model: list[np.ndarray], unseen: float) -> np.ndarray:

@@ -1014,3 +1014,25 @@ def test_pipeline_stages_take_rows_in_small_batches(spark, sf_dir):
     own.conf.set(batches.BATCH_SETTING, "123456")
     batches.small_batches(own)
     assert own.conf.get(batches.BATCH_SETTING) == "123456"
+
+
+def test_quality_holds_no_part_of_a_merged_model():
+    import tracemalloc
+
+    from granary.llm import quality
+
+    rng = np.random.default_rng(5)
+    keys = rng.permutation(400_000).astype(np.uint64).reshape(8, -1)
+    values = rng.random((2, 8, 50_000), np.float32)
+    whole = [keys.ravel().copy(), *(v.ravel().copy() for v in values)]
+    order = np.argsort(whole[0])
+    tracemalloc.start()
+    parts = [[k.copy(), p.copy(), w.copy()] for k, p, w in zip(keys, *values, strict=True)]
+    merged = quality._merged(parts)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    for got, want in zip(merged, whole, strict=True):
+        np.testing.assert_array_equal(got, want[order])
+    size = sum(x.nbytes for x in merged)
+    assert held < 1.25 * size and peak < 2.6 * size
+    assert [x.size for x in quality._merged([])] == [0, 0, 0]
