@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.operators.ordering import RECNO, groups_of_runs, with_recno
+from granary.operators.ordering import RECNO, sum_runs, with_recno
 
 DELETED = "_deleted"
 
@@ -284,8 +284,8 @@ def lookup(df: DataFrame, value: Column, found: DataFrame, ret: str, key: str, *
 
 def total_on(df: DataFrame, key: str, sums: list[str]) -> DataFrame:
     """TOTAL ON key: one row for each run of CONSECUTIVE equal keys in record order, with the fields' sums."""
-    runs = groups_of_runs(df, key, RECNO, "_run")
-    return runs.groupBy("_run").agg(F.min(RECNO).alias(RECNO), F.first(key).alias(key), *[F.sum(F.col(s).cast("decimal(18,4)")).alias(s) for s in sums]).drop("_run")
+    runs = sum_runs(df, key, RECNO, [F.col(s).cast("decimal(18,4)") for s in sums])
+    return runs.withColumnsRenamed({f"_s{i}": s for i, s in enumerate(sums)})
 
 
 # relations
