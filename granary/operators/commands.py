@@ -97,8 +97,8 @@ def skip(df: DataFrame, at: int, n: int = 1) -> DataFrame:
         return scope_record(df, at)
     ahead = df.where(F.col(RECNO) > at if n > 0 else F.col(RECNO) < at)
     order = F.col(RECNO) if n > 0 else F.desc(RECNO)
-    reached = ahead.orderBy(order).limit(abs(n))  # abs(n) rows at most
-    return reached.orderBy(F.desc(RECNO) if n > 0 else F.col(RECNO)).limit(1).where(F.lit(ahead.limit(abs(n)).count() == abs(n)))
+    reached = ahead.orderBy(order).limit(abs(n)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))  # abs(n) rows at most
+    return reached.orderBy(F.desc(RECNO) if n > 0 else F.col(RECNO)).limit(1).where(F.col("_n") == abs(n)).drop("_n")
 
 
 # changes

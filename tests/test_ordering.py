@@ -49,3 +49,12 @@ def test_runs_across_buckets(spark, monkeypatch, seed):
 def test_total_on_of_nothing(spark):
     t = spark.createDataFrame([], "_recno long, g string, v int")
     assert cmd.total_on(t, "g", ["v"]).count() == 0
+
+
+def test_skip_is_built_without_a_job_and_counts_what_is_shown(spark):
+    t = spark.range(1, 31).select(F.col("id").alias("_recno"), (F.col("id") % 3).alias("g"))
+    shown = t.where("g = 0")
+    assert jobs_of(spark, lambda: cmd.skip(shown, 3, 2)) == 0
+    at = lambda n: [r["_recno"] for r in cmd.skip(shown, 6, n).collect()]
+    assert [at(n) for n in (1, 8, 9, -1, -2, 0)] == [[9], [30], [], [3], [], [6]]
+    assert cmd.skip(shown, 6, 1).columns == t.columns
