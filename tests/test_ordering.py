@@ -58,3 +58,41 @@ def test_skip_is_built_without_a_job_and_counts_what_is_shown(spark):
     at = lambda n: [r["_recno"] for r in cmd.skip(shown, 6, n).collect()]
     assert [at(n) for n in (1, 8, 9, -1, -2, 0)] == [[9], [30], [], [3], [], [6]]
     assert cmd.skip(shown, 6, 1).columns == t.columns
+
+
+def test_plans_hold_no_expression_for_each_bucket(wide):
+    t = cmd.as_table(wide.range(5000).select((F.col("id") * 7 % 5000).alias("k"), F.lit("x").alias("s")), "k")
+    changed = cmd.scan(t, {"s": F.lit("y")}, F.col("k") % 2 == 0, F.col("k") < 4000)
+    plan = changed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(">=") <= 8 and plan.count("CASE WHEN") <= 8  # a few for each use of the table, not hundreds
+    got = sorted((r["_recno"], r.k, r.s) for r in changed.collect())
+    assert got == [(k + 1, k, "y" if k % 2 == 0 and k < 4000 else "x") for k in range(5000)]
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "double", "decimal(9,2)", "timestamp", "date"])
+def test_places_of_keys_of_any_kind(wide, kind):
+    n = F.col("id") * 37 % 300
+    key = {"timestamp": F.timestamp_seconds(n * 5000), "date": F.date_add(F.lit("2024-01-01"), n.cast("int"))}.get(kind, n.cast(kind))
+    df = wide.range(300).select(n.alias("n"), F.when(n > 0, key).alias("k"))
+    got = ordering.with_recno(df, "k").select("_recno", "n", "k").collect()
+    want = sorted(((r.n, r.k) for r in got), key=lambda r: (r[1] is not None, r[1]) if r[1] is not None else (False,))
+    assert [n for n, _ in want] == [r.n for r in sorted(got, key=lambda r: r["_recno"])]
+    assert sorted(r["_recno"] for r in got) == list(range(1, 301))
+
+
+def test_runs_sums_and_neighbours_over_many_buckets(wide):
+    df = wide.range(500).select(F.col("id").alias("k"), F.when(F.col("id") % 5 > 0, F.expr("cast(id div 7 as string)")).alias("v"))
+    rows = {r.k: r for r in ordering.with_previous(df, "v", "k", "b").collect()}
+    assert rows[0].b is None and all(rows[k].b == rows[k - 1].v for k in range(1, 500))
+    sums = {r.k: r.s for r in ordering.running_sum(df, F.col("k"), "k", "s").collect()}
+    assert sums == {k: k * (k + 1) // 2 for k in range(500)}
+    runs = [r.n for r in ordering.groups_of_runs(df, "v", "k", "n").orderBy("k").collect()]
+    want, n = [], 0
+    for k in range(500):
+        n += k == 0 and rows[k].v is not None or k > 0 and rows[k].v != rows[k - 1].v
+        want.append(n)
+    assert runs == want
+
+
+def test_order_of_nothing(wide):
+    assert ordering.with_recno(wide.createDataFrame([], "k int"), "k").count() == 0
