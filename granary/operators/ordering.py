@@ -32,7 +32,8 @@ def _place(key: Column, bounds: list, kind: T.DataType) -> Column:
         return F.lit(0)
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
     every = _literals(bounds, kind)
-    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(key >= F.get(every, at + step - 1), at + step).otherwise(at))
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(key >= F.get(every, at + step - 1), at + step).otherwise(at))
+    return F.coalesce(found, F.lit(0))  # never null, which spares a filter that searches again and keeps shuffles alike
 
 
 def bucketed(df: DataFrame, key: str, buckets: int | None = None) -> DataFrame:

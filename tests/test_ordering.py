@@ -96,3 +96,12 @@ def test_runs_sums_and_neighbours_over_many_buckets(wide):
 
 def test_order_of_nothing(wide):
     assert ordering.with_recno(wide.createDataFrame([], "k int"), "k").count() == 0
+
+
+def test_movements_search_once_and_share_a_shuffle(wide):
+    t = cmd.as_table(wide.range(1000).withColumnRenamed("id", "k"), "k")
+    steps = cmd.go(t, "bottom").unionByName(cmd.skip(t, 10, 5)).unionByName(cmd.skip(t, 10, -2))
+    assert "isnotnull(aggregate" not in steps._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["_recno"] for r in steps.collect()) == [8, 15, 1000]
+    plan = steps._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") - plan.count("ReusedExchange") == 1
